@@ -22,7 +22,22 @@ FROM w LEFT JOIN per USING (r) LEFT JOIN kept USING (r)
 """
 
 
+OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     l AS (SELECT r, doc_id, text, i, ls[i] AS line,
+                  translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+           FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+     c AS (SELECT k, count(DISTINCT (doc_id, text)) AS n, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING n >= 5)
+SELECT l.doc_id, count(*) AS n_lines,
+       CAST(count(*) FILTER (WHERE c.k IS NOT NULL AND l.doc_id IS DISTINCT FROM keeper) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.k IS NULL OR l.doc_id IS NOT DISTINCT FROM keeper), '')) AS kept_sha256
+FROM l LEFT JOIN c USING (k) GROUP BY l.r, l.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_substring_dedup": OP6,
+        "op8_line_dedup": OP8,
     }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm import line_dedup as _lines
 from cadenza.llm import substring_dedup as _substring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +20,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.digest(_substring.substring_dedup(documents(spark, sf_dir)))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines.digest(_lines.line_dedup(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op6_substring_dedup": op6_substring_dedup,
+        "op8_line_dedup": op8_line_dedup,
     }
