@@ -5,6 +5,30 @@ from __future__ import annotations
 #: Words of a text, null and empty: none.  (RE2 classes, ASCII white space.)
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP1 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+     win AS (SELECT r, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS k
+             FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),
+     hit AS (SELECT r, i FROM win SEMI JOIN (SELECT r, k FROM win GROUP BY r, k HAVING count(*) > 1) USING (r, k)),
+     rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM hit) GROUP BY r),
+     l AS (SELECT r, x, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS y
+           FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+     j AS (SELECT r, x, y, len(regexp_extract_all(y, '[^\x20\x09-\x0D]+')) AS n,
+                  length(regexp_replace(y, '[^#*$%&|<>]', '', 'g')) AS sym,
+                  length(regexp_replace(y, '[^|>»·•]', '', 'g')) AS nav,
+                  length(regexp_replace(y, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM l),
+     b AS (SELECT *, (n >= 12 AND NOT regexp_matches(y, '[.!?:;"''…”’»)\]}}]$')) OR (n >= 3 AND nav * 5 >= n)
+                     OR (sym >= 2 AND sym * 4 >= n) OR (n >= 5 AND upper(y) = y AND lower(y) <> y) AS bad FROM j),
+     s AS (SELECT r, count(*) - count(DISTINCT x) AS dups, sum(chars) AS chars, coalesce(sum(chars) FILTER (WHERE bad), 0) AS gone FROM b GROUP BY r),
+     o AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(s.chars, 0) AS BIGINT) AS word_chars,
+                  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                  CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+                  CASE WHEN s.chars > 0 THEN gone / s.chars ELSE 0 END AS lost
+           FROM d LEFT JOIN rep USING (r) LEFT JOIN s USING (r)),
+     f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept FROM f
+"""
+
 OP6 = rf"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS ws FROM documents),
      win AS (SELECT r, i, hash(list_slice(ws, i, i + 34)) AS a, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) AS b
@@ -38,6 +62,7 @@ FROM l LEFT JOIN c USING (k) GROUP BY l.r, l.doc_id
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_quality_rules": OP1,
         "op6_substring_dedup": OP6,
         "op8_line_dedup": OP8,
     }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import line_dedup as _lines
+from cadenza.llm import quality_rules as _rules
 from cadenza.llm import substring_dedup as _substring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rules.digest(_rules.quality_rules(documents(spark, sf_dir)))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.digest(_substring.substring_dedup(documents(spark, sf_dir)))
 
@@ -26,6 +31,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_line_dedup": op8_line_dedup,
     }
