@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import line_dedup as _lines
+from cadenza.llm import packing as _packing
 from cadenza.llm import quality_rules as _rules
+from cadenza.llm import sharding as _sharding
 from cadenza.llm import substring_dedup as _substring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +24,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules.digest(_rules.quality_rules(documents(spark, sf_dir)))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sharding.digest(_sharding.shard_documents(documents(spark, sf_dir)))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.digest(_substring.substring_dedup(documents(spark, sf_dir)))
 
@@ -32,6 +43,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op4_packing": op4_packing,
+        "op5_sharding": op5_sharding,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_line_dedup": op8_line_dedup,
     }
