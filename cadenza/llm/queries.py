@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm import bpe as _bpe
 from cadenza.llm import line_dedup as _lines
 from cadenza.llm import packing as _packing
 from cadenza.llm import quality_rules as _rules
@@ -24,6 +25,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules.digest(_rules.quality_rules(documents(spark, sf_dir)))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,6 +48,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_bpe": op2_bpe,
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_substring_dedup": op6_substring_dedup,
