@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import bpe as _bpe
 from cadenza.llm import line_dedup as _lines
+from cadenza.llm import ngram_join as _near
 from cadenza.llm import packing as _packing
 from cadenza.llm import quality_rules as _rules
 from cadenza.llm import sharding as _sharding
@@ -29,6 +30,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.ngram_join(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_bpe": op2_bpe,
+        "op3_ngram_join": op3_ngram_join,
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_substring_dedup": op6_substring_dedup,
