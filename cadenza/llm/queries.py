@@ -14,6 +14,7 @@ from cadenza.llm import packing as _packing
 from cadenza.llm import quality_rules as _rules
 from cadenza.llm import sharding as _sharding
 from cadenza.llm import substring_dedup as _substring
+from cadenza.llm import vector_search as _vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +51,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines.digest(_lines.line_dedup(documents(spark, sf_dir)))
 
 
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -59,4 +64,5 @@ def queries() -> dict[str, Query]:
         "op5_sharding": op5_sharding,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_line_dedup": op8_line_dedup,
+        "op9_vector_search": op9_vector_search,
     }
