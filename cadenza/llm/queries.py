@@ -11,9 +11,11 @@ from cadenza.llm import bpe as _bpe
 from cadenza.llm import line_dedup as _lines
 from cadenza.llm import ngram_join as _near
 from cadenza.llm import packing as _packing
+from cadenza.llm import quality_model as _quality
 from cadenza.llm import quality_rules as _rules
 from cadenza.llm import sharding as _sharding
 from cadenza.llm import substring_dedup as _substring
+from cadenza.llm import toxicity as _toxicity
 from cadenza.llm import vector_search as _vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,10 +45,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sharding.digest(_sharding.shard_documents(documents(spark, sf_dir)))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.digest(_substring.substring_dedup(documents(spark, sf_dir)))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.digest(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines.digest(_lines.line_dedup(documents(spark, sf_dir)))
 
@@ -55,6 +65,10 @@ def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality.digest(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -63,6 +77,8 @@ def queries() -> dict[str, Query]:
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_line_dedup": op8_line_dedup,
         "op9_vector_search": op9_vector_search,
+        "op10_quality_model": op10_quality_model,
     }
