@@ -170,7 +170,42 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     z2 = 1.64**2  # Wilson's lower bound of the share of toxic rows among those with the stem
     sure = (p / n + z2 / (2 * n) - 1.64 * F.sqrt(p / n * (1 - p / n) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     best = _count_stems(rows).select("stem", g2.alias("g2"), weight.alias("w"), "p", sure.alias("sure")).filter((p >= MIN_DOCS) & (F.col("sure") >= MIN_PRECISION) & (F.col("g2") >= MIN_G2))
-    return {r["stem"]: r["w"] for r in best.orderBy(F.desc("g2"), "stem").limit(LEXICON).collect()}
+    found = best.orderBy(F.desc("g2"), "stem").limit(LEXICON).collect()
+    place_of = {r["stem"]: i for i, r in enumerate(found)}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [[place_of[s] for s in stems_of(t or "") & place_of.keys()] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.list_(pa.int32())), batch.column(1)], names=["hits", "y"])
+
+    seen = rows.mapInArrow(held, "hits array<int>, y int").toArrow()  # ``sample`` rows
+    rows_of = np.repeat(np.arange(seen.num_rows), np.diff(seen["hits"].combine_chunks().offsets.to_numpy()))
+    has = np.zeros((seen.num_rows, len(found)), bool)
+    has[rows_of, seen["hits"].combine_chunks().flatten().to_numpy()] = True
+    return {found[i]["stem"]: found[i]["w"] for i in cover(has, seen["y"].to_numpy() == 1)}
+
+
+def _g2(k: np.ndarray, e: np.ndarray) -> np.ndarray:
+    return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+
+
+def cover(has: np.ndarray, toxic: np.ndarray) -> list[int]:
+    """Stems that explain rows which no stronger stem explains: words that only come along in long toxic texts stay out."""
+    chosen: list[int] = []
+    open_ = np.ones(len(has), bool)
+    while len(chosen) < has.shape[1]:
+        n, p = has[open_].sum(0).astype(float), has[open_ & toxic].sum(0).astype(float)
+        base = toxic[open_].mean() if open_.any() else 0.0
+        if not 0 < base < 1:
+            break
+        g2 = 2 * (_g2(p, n * base) + _g2(n - p, n * (1 - base)))
+        g2[(p < MIN_DOCS) | (p < MIN_PRECISION * n)] = 0
+        best = int(np.argmax(g2))
+        if g2[best] < MIN_G2:
+            break
+        chosen.append(best)
+        open_ &= ~has[:, best]
+    return chosen
 
 
 PRIOR = np.array([1.0, 1.2, 0.4, 0.6, -4.0])
