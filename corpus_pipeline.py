@@ -1,13 +1,64 @@
-"""Corpus preparation in five stages."""
+"""Corpus preparation in five stages, from quality to packed windows.
+
+1. ``quality``: documents that the classifier rejects go.
+2. ``lines``: lines that many documents share go, save in their largest doc_id.
+3. ``near``: one document of each class of near duplicates stays.
+4. ``substrings``: passages that occur more than once go.
+5. ``packing``: the rest is cut into tokens and packed into windows.
+
+Each stage reads what its predecessor wrote, whole.  All but the last return the
+columns of ``documents``; the last returns the pieces with their windows.  No SQL
+can train the classifier or run the tokenizer, so the pipeline is tested against
+its operators on small tables instead.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from cadenza.llm.line_dedup import line_dedup
+from cadenza.llm.ngram_join import keep_one
+from cadenza.llm.packing import pack
+from cadenza.llm.quality_model import quality_model
+from cadenza.llm.storage import cut
+from cadenza.llm.substring_dedup import substring_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_model(docs, labels).filter("predicted = 1").select(COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup(docs).select(COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs).select(COLUMNS)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup(docs).select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near", near), ("substrings", substrings), ("packing", packing)]
+
+#: The first stage trains a model and the last runs a tokenizer: SQL expresses neither.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; every stage's table is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
     return docs
