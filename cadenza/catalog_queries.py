@@ -1,11 +1,426 @@
-"""The catalog queries and the SQL that checks them."""
+"""The catalog queries over the driver's tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza import fixtures as X
+from cadenza.operators import catalog, evaluation, hybrid, intent, lexical, preference, ranking, vectors
+from cadenza.operators import events as E
+from cadenza.operators import playlists as P
+from cadenza.plans import flows
+from cadenza.schemas import EVENT_TYPES, SIGNALS
+from cadenza.sources import playlist_files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+REQUEST = "high energy cinematic something new"
+CONTEXT, LEXICAL, EXPANDED = "work", "small green anodized", "steel ost"
+LIMIT = 25
+
+
+def _r(c: str, alias: str | None = None):
+    return (F.round(F.col(c), 6) + 0.0).alias(alias or c.split(".")[-1])
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n ".join(parts) + "\n"
+
+
+# -- catalog ------------------------------------------------------------------------------
+
+GENRES = "list_sort(list_distinct(list_filter(list_transform(string_split(genre, ','), lambda g: lower(trim(g))), lambda g: g <> '')))"
+
+
+@query(_with(X.TRACKS) + "SELECT track_id, title, artist, album FROM tracks WHERE status = 'active'")
+def catalog_active(s: SparkSession, d: str) -> DataFrame:
+    return catalog.active(X.tracks(s, d)).select("track_id", "title", "artist", "album")
+
+
+@query(_with(X.TRACKS) + "SELECT track_id, round(tempo_bpm, 6) AS tempo_bpm, round(least(1, greatest(0, rms_energy)), 6) AS energy, round(least(1, spectral_centroid / 8000), 6) AS brightness, 0 AS n_mfcc FROM tracks")
+def music_dna(s: SparkSession, d: str) -> DataFrame:
+    return catalog.music_dna(X.tracks(s, d)).select("track_id", _r("tempo_bpm"), _r("energy"), _r("brightness"), F.size("mfcc").alias("n_mfcc"))
+
+
+@query(_with(X.TRACKS) + f"SELECT track_id, array_to_string({GENRES}, ';') AS genres FROM tracks WHERE status = 'active' ORDER BY track_id LIMIT 100")
+def catalog_candidates(s: SparkSession, d: str) -> DataFrame:
+    return catalog.candidates(X.tracks(s, d), limit=100).select("track_id", F.concat_ws(";", "genres").alias("genres"))
+
+
+@query(_with(X.TRACKS) + "SELECT track_id, pos FROM tracks JOIN (VALUES ('00000012', 0), ('00000009', 1), ('00000003', 2), ('99999999', 3)) a(track_id, pos) USING (track_id) WHERE status = 'active'")
+def candidates_by_ids(s: SparkSession, d: str) -> DataFrame:
+    return catalog.candidates_by_ids(X.tracks(s, d), ["00000012", "00000009", "00000003", "99999999"]).select("track_id", "pos")
+
+
+TEXT = "'title: ' || title || ' | artist: ' || artist || ' | album: ' || album || ' | genre: ' || genre || ' | file name: ' || file_name"
+
+
+@query(_with(X.TRACKS) + f"SELECT track_id, {TEXT} AS text, sha256(source_uri) AS stable_id FROM tracks")
+def catalog_text(s: SparkSession, d: str) -> DataFrame:
+    from cadenza.sources.ingest import stable_track_id
+
+    t = X.tracks(s, d)
+    return catalog.catalog_text(t).join(t.select("track_id", stable_track_id(F.col("source_uri")).alias("stable_id")), "track_id")
+
+
+@query(_with(X.TRACKS) + f"SELECT count(*) AS n, count(DISTINCT sha256(track_id || chr(0) || {TEXT})) AS distinct_rows FROM tracks WHERE status = 'active'")
+def catalog_fingerprint_rows(s: SparkSession, d: str) -> DataFrame:
+    texts = catalog.catalog_text(catalog.active(X.tracks(s, d)))
+    return texts.agg(F.count("*").alias("n"), F.countDistinct(F.sha2(F.concat_ws("\0", "track_id", "text"), 256)).alias("distinct_rows"))
+
+
+# -- listening events -----------------------------------------------------------------------
+
+
+def _counters(where: str = "true") -> str:
+    parts = []
+    for c in preference.CHANNELS:
+        cases = " ".join(f"WHEN '{k}' THEN {w}" for k, (x, w) in preference.WEIGHTS.items() if x == c)
+        parts.append(f"sum(decay * CASE event_type {cases} ELSE 0 END) AS {c}")
+    return f"pref AS (SELECT track_id, {', '.join(parts)}, sum(decay) AS exposure, tanh((positive + replay - negative - skip) / 2) AS preference_score, 1 / (1 + sum(decay)) AS novelty_score FROM ev WHERE {where} GROUP BY track_id)"
+
+
+IN_CONTEXT = f"lower(trim(context)) = '{CONTEXT}'"
+
+
+@query(_with(X.EVENTS, _counters()) + "SELECT track_id, round(positive, 6) + 0.0 AS positive, round(negative, 6) + 0.0 AS negative, round(preference_score, 6) + 0.0 AS preference_score FROM pref")
+def pref_global(s: SparkSession, d: str) -> DataFrame:
+    return preference.preference(X.events(s, d), now=X.NOW).select("track_id", _r("positive"), _r("negative"), _r("preference_score"))
+
+
+@query(_with(X.EVENTS, _counters(IN_CONTEXT)) + "SELECT track_id, round(preference_score, 6) + 0.0 AS preference_score FROM pref")
+def pref_context(s: SparkSession, d: str) -> DataFrame:
+    return preference.contextual_preference(X.events(s, d), context=" WORK ", now=X.NOW).select("track_id", _r("preference_score"))
+
+
+@query(_with(X.EVENTS, _counters(IN_CONTEXT)) + "SELECT track_id, round(exposure, 6) + 0.0 AS exposure, round(novelty_score, 6) + 0.0 AS novelty_score FROM pref")
+def novelty_context(s: SparkSession, d: str) -> DataFrame:
+    return preference.contextual_novelty(X.events(s, d), context=CONTEXT, now=X.NOW).select("track_id", _r("exposure"), _r("novelty_score"))
+
+
+def _taste_sql() -> str:
+    parts = []
+    for c in preference.CHANNELS:
+        kinds = ", ".join(f"'{k}'" for k, (x, _) in preference.WEIGHTS.items() if x == c)
+        parts.append(f"(SELECT string_agg(track_id, ',' ORDER BY round({c}, 9) DESC, first_id, track_id) FROM (SELECT track_id, {c}, (SELECT min(id) FROM ev e WHERE e.track_id = pref.track_id AND event_type IN ({kinds})) AS first_id FROM pref) WHERE first_id IS NOT NULL) AS {c}_track_ids")
+    return _with(X.EVENTS, _counters()) + "SELECT " + ", ".join(parts) + ", (SELECT string_agg(context, ',' ORDER BY context) FROM (SELECT DISTINCT context FROM ev WHERE context <> '')) AS contexts"
+
+
+@query(_taste_sql())
+def taste_profile(s: SparkSession, d: str) -> DataFrame:
+    got = preference.taste_profile(X.events(s, d), now=X.NOW)
+    return got.select(*(F.concat_ws(",", c).alias(c) for c in got.columns))
+
+
+@query(_with(X.EVENTS) + "SELECT id, track_id, event_type, epoch_us(occurred_at) AS micros FROM ev ORDER BY occurred_at DESC, id DESC LIMIT 1000")
+def recent_events(s: SparkSession, d: str) -> DataFrame:
+    return E.recent(X.events(s, d)).select("id", "track_id", "event_type", F.unix_micros("occurred_at").alias("micros"))
+
+
+@query(_with(X.EVENTS) + f"SELECT k AS event_type, count(id) AS n FROM (SELECT unnest({list(EVENT_TYPES)}) AS k) LEFT JOIN ev ON event_type = k GROUP BY k")
+def event_summary_types(s: SparkSession, d: str) -> DataFrame:
+    return E.type_counts(X.events(s, d)).select("event_type", "n")
+
+
+@query(_with(X.EVENTS) + "SELECT nullif(lower(trim(context)), '') AS context, count(*) AS event_count, count(DISTINCT track_id) AS distinct_tracks FROM ev GROUP BY 1")
+def event_summary_contexts(s: SparkSession, d: str) -> DataFrame:
+    return E.context_counts(X.events(s, d))
+
+
+@query(_with(X.EVENTS) + "SELECT count(*) AS total_events, count(DISTINCT track_id) AS distinct_tracks FROM ev")
+def event_summary_totals(s: SparkSession, d: str) -> DataFrame:
+    return E.totals(X.events(s, d))
+
+
+# -- intent, ranking, flows --------------------------------------------------------------------
+
+CAND = "cand AS (SELECT track_id, title, least(1, rms_energy) AS energy, tempo_bpm, least(1, spectral_centroid / 8000) AS brightness, 0.0::DOUBLE AS own_novelty FROM tracks WHERE status = 'active')"
+# energy .8, mood cinematic (no evidence: 0), novelty wanted (own novelty 0)
+SCORED = "scored AS (SELECT *, greatest(0, 1 - abs(energy - 0.8)) AS energy_match, (0 + greatest(0, 1 - abs(energy - 0.8)) + own_novelty) / 3 AS intent_score FROM cand)"
+RECENT = "ev AS (SELECT * FROM ev0 ORDER BY occurred_at DESC, id DESC LIMIT 1000)"
+EV0 = X.EVENTS.replace("ev AS", "ev0 AS", 1)
+PERSONAL = "personal AS (SELECT s.*, coalesce(p.preference_score, 0) AS preference, coalesce(p.novelty_score, 1) AS novelty FROM scored s LEFT JOIN pref p USING (track_id))"
+FUSED = "fused AS (SELECT *, 0.18 * intent_score + 0.18 * energy_match + 0.18 * preference + 0.05 * novelty AS score FROM personal)"
+RANKED = f"ranked AS (SELECT * FROM fused ORDER BY round(score, 9) DESC, track_id LIMIT {LIMIT})"
+FLOW = (X.TRACKS, EV0, RECENT, _counters(IN_CONTEXT), CAND, SCORED, PERSONAL, FUSED, RANKED)
+
+
+@query(_with(X.TRACKS, CAND, SCORED) + "SELECT track_id, round(intent_score, 6) + 0.0 AS intent_score, round(energy_match, 6) + 0.0 AS energy_match, CASE WHEN energy_match > 0 THEN 'energy' ELSE '' END AS matched FROM scored")
+def intent_scores(s: SparkSession, d: str) -> DataFrame:
+    got = intent.score(catalog.candidates(X.tracks(s, d)), intent.parse_intent(REQUEST))
+    return got.select("track_id", _r("intent_score"), _r("energy_match"), F.concat_ws(",", "matched_dimensions").alias("matched"))
+
+
+def _requests() -> list[str]:
+    return ["dark Tamil BGM for a chase", "very high energy south-indian mass entry", "calm folk songs without vocals", "something I know", "vocal romance, moderate", "nothing at all"]
+
+
+@query()
+def intent_requests(s: SparkSession, d: str) -> DataFrame:
+    rows = s.createDataFrame([(i, t) for i, t in enumerate(_requests())], "request_id int, text string")
+    got = intent.parse_intents(rows)
+    return got.select("request_id", *(F.concat_ws(",", f).alias(f) for f in (*intent.VOCABULARY, "negative_terms")), "energy", "vocal_preference", "novelty", "confidence")
+
+
+@query(_with(*FLOW) + "SELECT track_id, round(score, 6) + 0.0 AS score FROM ranked")
+def fusion_rank(s: SparkSession, d: str) -> DataFrame:
+    return _flow(s, d).ranked.select("track_id", _r("score"))
+
+
+def _flow(s: SparkSession, d: str, mode: str = "smooth") -> flows.FlowResult:
+    return flows.recommend(X.tracks(s, d), X.events(s, d), flows.Request(REQUEST, mode=mode, limit=LIMIT), context=CONTEXT, now=X.NOW)
+
+
+_EXPLAIN = " UNION ALL ".join(f"SELECT track_id, '{n}' AS name, round({v}, 6) + 0.0 AS raw_score, {w} AS weight, round({v} * {w}, 6) + 0.0 AS contribution FROM ranked" for n, v, w in zip(SIGNALS, ("intent_score", "energy_match", "0.0::DOUBLE", "preference", "novelty", "0.0::DOUBLE"), ("0.18::DOUBLE", "0.18::DOUBLE", "0.36::DOUBLE", "0.18::DOUBLE", "0.05::DOUBLE", "0.05::DOUBLE"), strict=True))
+
+
+@query(_with(*FLOW) + _EXPLAIN)
+def fusion_explain(s: SparkSession, d: str) -> DataFrame:
+    got = _flow(s, d).ranked.select("track_id", F.explode("contributions").alias("c"))
+    return got.select("track_id", "c.name", _r("c.raw_score"), F.round("c.weight", 6).alias("weight"), _r("c.contribution"))
+
+
+@query(_with(X.TRACKS, X.EVENTS, _counters(), "base AS (SELECT track_id, coalesce(preference_score, 0) AS p FROM tracks LEFT JOIN pref USING (track_id) WHERE status = 'active')") + "SELECT track_id, round(0.18 * p, 6) + 0.0 AS score FROM base ORDER BY round(0.18 * p, 9) DESC, track_id LIMIT 10")
+def preference_rank(s: SparkSession, d: str) -> DataFrame:
+    return ranking.preference_rank(catalog.candidates(X.tracks(s, d)), X.events(s, d), now=X.NOW).select("track_id", _r("score"))
+
+
+@query(_with(X.TRACKS, X.EVENTS, _counters(IN_CONTEXT), "base AS (SELECT track_id, coalesce(novelty_score, 1) AS p FROM tracks LEFT JOIN pref USING (track_id) WHERE status = 'active')") + "SELECT track_id, round(0.05 * p, 6) + 0.0 AS score FROM base ORDER BY round(0.05 * p, 9) DESC, track_id LIMIT 10")
+def novelty_rank(s: SparkSession, d: str) -> DataFrame:
+    return ranking.novelty_rank(catalog.candidates(X.tracks(s, d)), X.events(s, d), now=X.NOW, context=CONTEXT).select("track_id", _r("score"))
+
+
+_DIST = "0.5 * abs(w.energy - p.energy) + 0.3 / 60 * abs(w.tempo_bpm - p.tempo_bpm) + 0.2 * abs(w.brightness - p.brightness)"
+_STEPS = {"smooth": f"p.score - ({_DIST})", "contrast": f"p.score + ({_DIST})", "journey": f"p.score - abs(p.energy - round(0.3 + 0.6 * (w.pos + 1) / {LIMIT - 1}.0, 10))", "discovery": "p.score + 0.5 * p.novelty"}
+
+
+def _walk(mode: str, ranked: tuple[str, ...]) -> str:
+    step = _STEPS[mode]
+    walk = f"""walk AS (SELECT 0 AS pos, track_id, score AS val, energy, tempo_bpm, brightness, [track_id] AS used FROM (SELECT * FROM ranked ORDER BY round(score, 9) DESC, track_id LIMIT 1)
+  UNION ALL SELECT w.pos + 1, c.track_id, c.val, c.energy, c.tempo_bpm, c.brightness, list_append(w.used, c.track_id) FROM walk w,
+  LATERAL (SELECT p.track_id, p.energy, p.tempo_bpm, p.brightness, {step} AS val FROM ranked p WHERE NOT list_contains(w.used, p.track_id) ORDER BY round({step}, 9) DESC, p.track_id LIMIT 1) c)"""
+    return "WITH RECURSIVE " + ",\n ".join((*ranked, walk)) + "\nSELECT pos AS position, track_id, round(val, 6) + 0.0 AS sequence_score FROM walk"
+
+
+def _sequence(mode: str) -> None:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return _flow(s, d, mode).playlist.select("position", "track_id", _r("sequence_score"))
+
+    run.__name__ = f"sequence_{mode}"
+    query(_walk(mode, FLOW))(run)
+
+
+for _mode in _STEPS:
+    _sequence(_mode)
+
+
+@query(_walk("smooth", FLOW))
+def recommend_catalog(s: SparkSession, d: str) -> DataFrame:
+    return _flow(s, d).playlist.select("position", "track_id", _r("sequence_score"))
+
+
+# -- retrieval --------------------------------------------------------------------------------
+
+
+def _lexical_sql(variants: list[str], limit: int, name: str = "lex") -> str:
+    fields = [f for f in lexical.WEIGHTS if f in ("title", "artist", "album", "genre", "file_name")]
+    toks = ", ".join(f"list_distinct(list_transform(regexp_extract_all({f}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x))) AS t_{f}" for f in fields)
+    parts = []
+    for v in variants:
+        words = lexical.query_tokens(v)
+        score = " + ".join("greatest(" + ", ".join(f"CASE WHEN list_contains(t_{f}, '{w}') THEN {lexical.WEIGHTS[f]} ELSE 0 END" for f in fields) + ")" for w in words)
+        hits = []
+        for i, f in enumerate(fields):
+            fresh = " OR ".join("(" + " AND ".join([f"list_contains(t_{f}, '{w}')", *(f"NOT list_contains(t_{g}, '{w}')" for g in fields[:i])]) + ")" for w in words)
+            hits.append(f"CASE WHEN {fresh} THEN '{f}' END")
+        parts.append(f"SELECT track_id, CAST({score} AS DOUBLE) / {len(words)} AS score, list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL) AS fields, '{v}' AS variant FROM tok")
+    best = f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, fields, variant) AS n FROM ({' UNION ALL '.join(parts)}) WHERE score > 0) WHERE n = 1)"""
+    return f"tok AS (SELECT track_id, {toks} FROM tracks WHERE status = 'active'),\n {best},\n {name} AS (SELECT * FROM best ORDER BY round(score, 9) DESC, track_id LIMIT {limit})"
+
+
+def _lexical_out(df: DataFrame) -> DataFrame:
+    return df.select("track_id", _r("score"), F.concat_ws(",", "matched_fields").alias("matched_fields"), "matched_query")
+
+
+_LEX_OUT = "SELECT track_id, round(score, 6) + 0.0 AS score, array_to_string(fields, ',') AS matched_fields, variant AS matched_query FROM lex"
+
+
+@query(_with(X.TRACKS, _lexical_sql([LEXICAL], LIMIT)) + _LEX_OUT)
+def lexical_search(s: SparkSession, d: str) -> DataFrame:
+    return _lexical_out(flows.SearchService(X.tracks(s, d)).search(LEXICAL, limit=LIMIT))
+
+
+@query(_with(X.TRACKS, _lexical_sql(lexical.expand_query(EXPANDED), LIMIT)) + _LEX_OUT)
+def lexical_search_expanded(s: SparkSession, d: str) -> DataFrame:
+    return _lexical_out(lexical.search(X.tracks(s, d), EXPANDED, limit=LIMIT, expand=True))
+
+
+_COS = f"q AS (SELECT v AS qv FROM vecs WHERE track_id = '{X.SEED}'), cos AS (SELECT track_id, list_cosine_similarity(v, qv) AS score FROM vecs, q)"
+
+
+def _seed(s: SparkSession, d: str) -> list[float]:
+    return list(X.vectors(s, d).filter(F.col("track_id") == X.SEED).head()["vector"])
+
+
+def _semantic(s: SparkSession, d: str, limit: int = LIMIT) -> DataFrame:
+    scored = X.vectors(s, d).select("track_id", vectors.cosine(F.col("vector"), _seed(s, d)).alias("score"))
+    return scored.orderBy(F.round("score", 9).desc(), "track_id").limit(limit)
+
+
+@query(_with(X.VECTORS, _COS) + f"SELECT track_id, round(score, 6) + 0.0 AS score FROM cos ORDER BY round(score, 9) DESC, track_id LIMIT {LIMIT}")
+def semantic_topk(s: SparkSession, d: str) -> DataFrame:
+    return _semantic(s, d).select("track_id", _r("score"))
+
+
+@query(_with(X.TRACKS, X.VECTORS, _COS) + f"SELECT track_id, round(0.36 * coalesce((score + 1) / 2, 0), 6) + 0.0 AS score FROM tracks LEFT JOIN cos USING (track_id) WHERE status = 'active' AND track_id <> '{X.SEED}' ORDER BY round(0.36 * coalesce((score + 1) / 2, 0), 9) DESC, track_id LIMIT {LIMIT}")
+def learned_similar(s: SparkSession, d: str) -> DataFrame:
+    similar = X.vectors(s, d).select("track_id", vectors.cosine(F.col("vector"), _seed(s, d)).alias("score"))
+    rows = ranking.with_learned(catalog.candidates(X.tracks(s, d)), similar, X.SEED).filter(F.col("track_id") != X.SEED)
+    return ranking.rank(rows, limit=LIMIT).select("track_id", _r("score"))
+
+
+_SEM = "sem AS (SELECT track_id, score FROM cos JOIN tracks USING (track_id) WHERE status = 'active' ORDER BY round(score, 9) DESC, track_id LIMIT {n})"
+
+
+def _hybrid_parts(n: int) -> tuple[str, ...]:
+    scale = lambda t: f"CASE WHEN max({t}.score) OVER () = min({t}.score) OVER () THEN 1 ELSE ({t}.score - min({t}.score) OVER ()) / (max({t}.score) OVER () - min({t}.score) OVER ()) END"
+    fused = f"""hyb AS (SELECT coalesce(a.track_id, b.track_id) AS track_id, coalesce(a.n, 0) AS ln, coalesce(b.n, 0) AS sn, 0.6 * coalesce(a.n, 0) + 0.4 * coalesce(b.n, 0) AS score
+  FROM (SELECT track_id, {scale('lex')} AS n FROM lex) a FULL JOIN (SELECT track_id, {scale('sem')} AS n FROM sem) b ON a.track_id = b.track_id)"""
+    return (X.TRACKS, X.VECTORS, _COS, _lexical_sql([LEXICAL], n), _SEM.format(n=n), fused)
+
+
+def _hybrid(s: SparkSession, d: str, n: int) -> DataFrame:
+    t = X.tracks(s, d)
+    scored = X.vectors(s, d).join(catalog.active(t).select("track_id", "title", "artist", "album"), "track_id").select("track_id", vectors.cosine(F.col("vector"), _seed(s, d)).alias("score"), "title", "artist", "album")
+    sem = scored.orderBy(F.round("score", 9).desc(), "track_id").limit(n)
+    return hybrid.fuse(lexical.search(t, LEXICAL, limit=n), sem, weights=hybrid.HybridWeights(0.6, 0.4), limit=n)
+
+
+@query(_with(*_hybrid_parts(LIMIT)) + f"SELECT track_id, round(score, 6) + 0.0 AS score, round(ln, 6) + 0.0 AS lexical_normalized_score, round(sn, 6) + 0.0 AS semantic_normalized_score FROM hyb ORDER BY round(score, 9) DESC, track_id LIMIT {LIMIT}")
+def hybrid_search(s: SparkSession, d: str) -> DataFrame:
+    return _hybrid(s, d, LIMIT).select("track_id", _r("score"), _r("lexical_normalized_score"), _r("semantic_normalized_score"))
+
+
+_H50 = _hybrid_parts(50)
+
+
+@query(_walk("journey", (*_H50, "ids AS (SELECT track_id FROM hyb ORDER BY round(score, 9) DESC, track_id LIMIT 50)", EV0, RECENT, _counters(IN_CONTEXT), CAND.replace("WHERE", "WHERE track_id IN (SELECT track_id FROM ids) AND"), SCORED, PERSONAL, FUSED, RANKED)))
+def recommend_hybrid(s: SparkSession, d: str) -> DataFrame:
+    ids = _hybrid(s, d, 50).select("track_id")
+    t = X.tracks(s, d)
+    found = catalog.adapt(catalog.active(t).join(F.broadcast(ids), "track_id", "left_semi"))
+    got = flows.context_aware(found, flows.Request(REQUEST, mode="journey", limit=LIMIT), events=E.recent(X.events(s, d)), context=CONTEXT, now=X.NOW)
+    return got.playlist.select("position", "track_id", _r("sequence_score"))
+
+
+# -- playlists --------------------------------------------------------------------------------
+
+AUDIT = "aud AS (SELECT i.*, CASE WHEN t.status IS NULL THEN 'missing' WHEN t.status = 'active' THEN 'active' ELSE 'inactive' END AS state FROM items i LEFT JOIN tracks t USING (track_id))"
+
+
+@query(_with(X.TRACKS, X.ITEMS, AUDIT) + "SELECT playlist_id, count(*) FILTER (WHERE state = 'active') AS active_count, count(*) FILTER (WHERE state = 'inactive') AS inactive_count, count(*) FILTER (WHERE state = 'missing') AS missing_count FROM aud GROUP BY 1")
+def playlist_audit(s: SparkSession, d: str) -> DataFrame:
+    return P.audit_counts(P.audit(X.items(s, d), X.tracks(s, d)), "playlist_id")
+
+
+@query(_with(X.TRACKS, X.ITEMS, AUDIT) + "SELECT playlist_id, position, track_id, CASE state WHEN 'active' THEN 'keep' ELSE 'remove' END AS action FROM aud")
+def playlist_repair(s: SparkSession, d: str) -> DataFrame:
+    return P.repair_plan(P.audit(X.items(s, d), X.tracks(s, d))).select("playlist_id", "position", "track_id", "action")
+
+
+@query(_with(X.TRACKS, X.ITEMS) + "SELECT playlist_id, position, track_id FROM items WHERE track_id NOT IN (SELECT track_id FROM tracks WHERE status = 'active' AND lower(artist) = 'brand#12')")
+def playlist_filter_remove(s: SparkSession, d: str) -> DataFrame:
+    return P.filter_by_metadata(X.items(s, d), X.tracks(s, d), P.parse_edit("remove all tracks by  BRAND#12"))
+
+
+@query(_with(X.TRACKS, X.ITEMS) + f"SELECT playlist_id, position, track_id FROM items WHERE track_id IN (SELECT track_id FROM tracks WHERE status = 'active' AND list_contains({GENRES}, 'small'))")
+def playlist_filter_keep(s: SparkSession, d: str) -> DataFrame:
+    return P.filter_by_metadata(X.items(s, d), X.tracks(s, d), P.parse_edit("keep only in genre Small"))
+
+
+def _edit(name: str, commands: list[str], order: str) -> None:
+    """``order`` is the new position of an item in terms of its old one (p) and the number of items (n); null drops it."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = P.apply_edits(X.playlists(s, d).filter(F.size("items") >= 3), P.parse_edits(commands))
+        return P.exploded(rows, "playlist_id").select("playlist_id", F.col("position").cast("long").alias("position"), "track")
+
+    run.__name__ = f"playlist_edit_{name}"
+    sql = _with(X.ITEMS, "big AS (SELECT *, count(*) OVER (PARTITION BY playlist_id) AS n FROM items)")
+    query(sql + f"SELECT playlist_id, CAST({order} AS BIGINT) AS position, track_id AS track FROM (SELECT playlist_id, track_id, position AS p, n FROM big WHERE n >= 3) WHERE ({order}) IS NOT NULL")(run)
+
+
+_edit("remove", ["remove p1"], "CASE WHEN p = 0 THEN 0 WHEN p > 1 THEN p - 1 END")
+_edit("move", ["move p2 to 1"], "CASE WHEN p = 2 THEN 0 WHEN p < 2 THEN p + 1 ELSE p END")
+_edit("before", ["move p2 before p1"], "CASE p WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE p END")
+_edit("after", ["move p0 after p2"], "CASE WHEN p = 0 THEN 2 WHEN p <= 2 THEN p - 1 ELSE p END")
+_edit("swap", ["swap p0 with p2"], "CASE p WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE p END")
+_edit("trim", ["keep the first 2 tracks"], "CASE WHEN p < 2 THEN p END")
+
+
+@query(_with(X.ITEMS, "big AS (SELECT *, count(*) OVER (PARTITION BY playlist_id) AS n FROM items)") + "SELECT playlist_id, track_id, position AS from_position, CASE WHEN position = 1 THEN NULL ELSE position - 1 END AS to_position FROM big WHERE n >= 3 AND position >= 1")
+def playlist_diff(s: SparkSession, d: str) -> DataFrame:
+    before = X.playlists(s, d).filter(F.size("items") >= 3)
+    flat = lambda df: P.exploded(df, "playlist_id").select("playlist_id", F.col("position").cast("long").alias("position"), F.col("track").alias("track_id"))
+    return P.diff(flat(before), flat(P.apply_edits(before, [P.Remove("p1")])), "playlist_id")
+
+
+@query(_with(X.TRACKS, X.ITEMS, "act AS (SELECT * FROM tracks WHERE status = 'active' AND track_id IN (SELECT track_id FROM items))") + "SELECT key, string_agg(track_id, ',' ORDER BY track_id) AS track_ids FROM (SELECT lower(title) AS key, track_id FROM act UNION SELECT lower(file_name), track_id FROM act) GROUP BY key")
+def reference_resolution(s: SparkSession, d: str) -> DataFrame:
+    return P.reference_map(X.items(s, d), X.tracks(s, d)).select("key", F.concat_ws(",", "track_ids").alias("track_ids"))
+
+
+@query(_with(X.TRACKS, X.ITEMS) + "SELECT playlist_id, position, '#EXTINF:' || CAST(CAST(round_even(duration_seconds, 0) AS BIGINT) AS VARCHAR) || ',' || title || ' — ' || artist AS label, source_uri AS uri FROM items JOIN tracks USING (track_id)")
+def m3u8_lines(s: SparkSession, d: str) -> DataFrame:
+    t = X.tracks(s, d)
+    return playlist_files.m3u8_lines(P.audit(X.items(s, d), t).filter("state != 'missing'"), t, "playlist_id")
+
+
+# -- evaluation -------------------------------------------------------------------------------
+
+_EVAL = f"""pool AS (SELECT query_id, count(*) AS judged, count(*) FILTER (WHERE grade >= 2) AS relevant, sum(CASE WHEN n <= 10 THEN (pow(2, grade) - 1) / log2(n + 1) END) AS idcg
+   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, CAST(doc_id AS VARCHAR)) AS n FROM judg) GROUP BY query_id),
+ top AS (SELECT r.query_id, sum(coalesce((pow(2, grade) - 1) / log2(rank + 1), 0)) AS dcg, count(*) FILTER (WHERE grade >= 2) AS hits, min(rank) FILTER (WHERE grade >= 2) AS first FROM res r LEFT JOIN judg j USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1)"""
+
+
+def _measured(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.evaluate(X.results(s, d), X.judgments(s, d))
+
+
+@query(_with(X.JUDGED, _EVAL) + "SELECT query_id, CASE WHEN judged >= 3 AND idcg > 0 THEN round(coalesce(dcg, 0) / idcg, 6) + 0.0 END AS ndcg FROM pool LEFT JOIN top USING (query_id)")
+def eval_ndcg(s: SparkSession, d: str) -> DataFrame:
+    return _measured(s, d).select("query_id", _r("ndcg"))
+
+
+@query(_with(X.JUDGED, _EVAL) + "SELECT query_id, CASE WHEN judged >= 3 AND relevant > 0 THEN round(coalesce(hits, 0) / relevant, 6) + 0.0 END AS recall FROM pool LEFT JOIN top USING (query_id)")
+def eval_recall(s: SparkSession, d: str) -> DataFrame:
+    return _measured(s, d).select("query_id", _r("recall"))
+
+
+@query(_with(X.JUDGED, _EVAL) + "SELECT query_id, CASE WHEN judged >= 3 AND relevant > 0 THEN round(coalesce(1.0 / first, 0)::DOUBLE, 6) + 0.0 END AS rr FROM pool LEFT JOIN top USING (query_id)")
+def eval_mrr(s: SparkSession, d: str) -> DataFrame:
+    return _measured(s, d).select("query_id", _r("rr"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def oracle_sql() -> dict:
-    return {}
