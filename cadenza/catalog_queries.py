@@ -169,7 +169,24 @@ def _requests() -> list[str]:
     return ["dark Tamil BGM for a chase", "very high energy south-indian mass entry", "calm folk songs without vocals", "something I know", "vocal romance, moderate", "nothing at all"]
 
 
-@query()
+def _says(phrase: str) -> str:
+    return f"regexp_matches(p, '{intent._rule(phrase)}')"
+
+
+def _intents_sql() -> str:
+    rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_requests()))
+    lists = {f: "list_distinct(list_filter([" + ", ".join(f"CASE WHEN {_says(k)} THEN '{v}' END" for k, v in words.items()) + "], lambda x: x IS NOT NULL))" for f, words in intent.VOCABULARY.items()}
+    first = lambda rules: "CASE " + " ".join(f"WHEN {' OR '.join(map(_says, phrases))} THEN {v!r}" for phrases, v in rules) + " END"
+    read = ", ".join(f"{sql} AS {f}" for f, sql in lists.items())
+    hits = " + ".join(f"len({f})" for f in lists)
+    return f"""WITH r AS (SELECT request_id, trim(regexp_replace(regexp_replace(lower(t), '[-_]+', ' ', 'g'), '\\s+', ' ', 'g')) AS p FROM (VALUES {rows}) v(request_id, t)),
+ f AS (SELECT request_id, {read}, {first(intent.ENERGIES)} AS e, {first(intent.VOCALS)} AS v, {first(intent.NOVELTIES)} AS n FROM r)
+SELECT request_id, {", ".join(f"array_to_string(list_sort({f}), ',') AS {f}" for f in lists)}, CASE WHEN v = 'without' THEN 'vocals' ELSE '' END AS negative_terms, CAST(e AS DOUBLE) AS energy,
+ CASE WHEN v IS NULL THEN 'any' WHEN v = 'without' THEN 'instrumental' ELSE v END AS vocal_preference, coalesce(n, 'any') AS novelty,
+ round(least(1.0::DOUBLE, 0.2::DOUBLE * ({hits} + (e IS NOT NULL)::INT + (v IS NOT NULL)::INT + (n IS NOT NULL)::INT)), 3) AS confidence FROM f"""
+
+
+@query(_intents_sql())
 def intent_requests(s: SparkSession, d: str) -> DataFrame:
     rows = s.createDataFrame([(i, t) for i, t in enumerate(_requests())], "request_id int, text string")
     got = intent.parse_intents(rows)
