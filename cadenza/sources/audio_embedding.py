@@ -7,6 +7,7 @@ optional and loaded once in each worker.  The file is fetched by the caller.
 from __future__ import annotations
 
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -125,9 +126,10 @@ class LearnedIndex:
         found = embed_files(tracks, self.embed, limit=limit).cache()
         n = self.index.save(found.filter("vector IS NOT NULL").select("track_id", "vector"))
         issues = found.filter("issue IS NOT NULL").select("track_id", "issue")
-        rows = tracks.sparkSession.createDataFrame(issues.collect(), issues.schema)
+        path = f"{self.index.path}/issues-{uuid.uuid4().hex}"
+        issues.write.parquet(path)
         found.unpersist()
-        return n, rows
+        return n, tracks.sparkSession.read.schema(issues.schema).parquet(path)
 
     def similar(self, tracks: DataFrame, track_id: str, *, limit: int = 10) -> DataFrame:
         """The nearest to a track of the catalog by its file's vector, without itself."""

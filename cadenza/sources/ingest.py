@@ -183,7 +183,7 @@ def scan(
     rest = rest.withColumn("status", F.when(gone, "missing").when(F.col("_changed").isNotNull(), "active").otherwise(F.col("status"))).withColumn("updated_at", F.when(gone | F.col("_changed").isNotNull(), F.lit(at)).otherwise(F.col("updated_at")))
     states = files.join(hashes, "source_uri", "left").select("source_uri", F.lit(at).alias("last_seen_at"), "file_size", "modified_at_ns", F.coalesce("new_hash", "_hash").alias("content_hash"))
     kept = state.join(seen, "source_uri", "left_anti")
-    issues = spark.createDataFrame(read.select(F.explode("issues").alias("i")).select("i.*").collect(), "stage string, source string, error_type string, message string")
+    issues = store.log("issues", read.select(F.explode("issues").alias("i")).select("i.*"))
     store.replace("tracks", rest.drop("_changed").unionByName(fresh))
     store.replace("scan_state", kept.unionByName(states))
     files.unpersist()

@@ -51,6 +51,12 @@ class Store:
         target = self.spark.createDataFrame([], TABLES[name]).schema
         rows.select(*(F.col(f.name).cast(f.dataType) for f in target)).write.mode("append").parquet(f"{self.path}/{name}/{version}")
 
+    def log(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write rows to a folder of their own and return them as read from there."""
+        path = f"{self.path}/{name}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     # -- events ---------------------------------------------------------------------
 
     def record_event(self, track_id: str, event_type: str, **facts) -> dict:
