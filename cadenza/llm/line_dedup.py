@@ -11,8 +11,8 @@ Only 128-bit hashes of keys travel.  They are range-partitioned with a salt, so
 that a line in a third of all documents is cut over many ranges, and sorted by
 document (largest first) and position.  One pass over that order streams each
 document's first occurrence of a key; these first occurrences are counted with
-partial aggregation.  The repeated keys meet the occurrences in an equi-join that
-Spark may split, and each document gets back a bitmap of lines to drop, 63 lines
+partial aggregation.  The repeated keys are written to the shared folder and meet the
+occurrences in an equi-join that Spark may split, and each document gets back a bitmap of lines to drop, 63 lines
 to a word.  Texts move once, to meet their bitmaps.
 
 Defined results
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.frames import hidden, place, restored
-from cadenza.llm.storage import parallelism
+from cadenza.llm.storage import cut, parallelism
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SALTS = 64
@@ -74,7 +74,9 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = M
     own = docs.select(*hidden(docs))
     rows = own.select(F.xxhash64(doc_id, text).alias("_row"), F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_lines_of"))
     found = occurrences(rows, min_chars)
-    marks = drop_bitmaps(found, repeated_keys(found, parts, min_docs)).withColumnsRenamed({"_row": "_mark_row", "_id": "_mark_id"})
+    # as a table of their own the keys have a known size, and the join's other side can be split where a key is hot
+    repeated = cut(repeated_keys(found, parts, min_docs))
+    marks = drop_bitmaps(found, repeated).withColumnsRenamed({"_row": "_mark_row", "_id": "_mark_id"})
     keyed = own.withColumn("_row", F.xxhash64(doc_id, text))
     met = keyed.join(marks, (F.col("_row") == F.col("_mark_row")) & F.col(doc_id).eqNullSafe(F.col("_mark_id")), "left")
     met = met.withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
