@@ -35,10 +35,11 @@ def min_max(score: Column) -> Column:
 
 
 def _source(rows: DataFrame, name: str) -> DataFrame:
-    bad = rows.filter(~S.finite(F.col("score"))).limit(1).collect()
+    # one small aggregation checks ids and scores
+    odd = F.bool_or(~S.finite(F.col("score")))
+    bad = rows.groupBy("track_id").agg(F.count("*").alias("n"), odd.alias("odd")).filter((F.col("n") > 1) | F.col("odd") | F.col("track_id").isNull() | (F.trim("track_id") == "")).limit(1).collect()
     if bad:
-        raise ValueError(f"{name} scores must be finite numbers")
-    checks.distinct_rows(rows)
+        raise ValueError(f"{name} results need unique ids and finite scores: {bad[0]['track_id']!r}")
     meta = [F.col(c).alias(f"{name}_{c}") for c in ("title", "artist", "album")]
     fields = [F.col("matched_fields")] if "matched_fields" in rows.columns else []
     return rows.select("track_id", F.col("score").alias(f"{name}_score"), min_max(F.col("score")).alias(f"{name}_normalized_score"), *fields, *meta)
