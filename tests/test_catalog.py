@@ -142,8 +142,8 @@ def test_vector_index(spark, tmp_path):
         index.similar("zz")
     with pytest.raises(ValueError):
         index.save(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], rows.schema))
-    part = next((tmp_path / "v" / index.manifest()["data"]).glob("part-*"))
-    part.unlink()
+    for part in (tmp_path / "v" / index.manifest()["data"]).glob("part-*"):
+        part.unlink()
     with pytest.raises(ValueError):
         index.load()
 
