@@ -57,6 +57,21 @@ def test_quality_rules_verdicts(spark):
     assert kept == {1: True, 2: False, 3: False, 4: False, 5: False}
 
 
+def test_quality_rules_know_boilerplate(spark):
+    prose = "The river runs past the old mill and on to the sea.\nNobody knew where the road would end, but all went on."
+    bad = ["Home\nAbout us\nOur products\nNews\nContact\nHelp\nMy basket\nLog in"]
+    bad += ["This work is licensed under the GNU General Public License, version 3.\nAll rights reserved."]
+    bad += ["Copyright 2019 The Example Company.\nThis site uses cookies to make your visit better.", "Please enable JavaScript to view the comments on this page.\nSign up for our weekly newsletter."]
+    bad += ["Share this article on Facebook.\nRead our privacy policy and the terms of use before you go on."]
+    good = [prose, prose + "\nAll rights reserved.", "A long line on how a baker came to accept cookies from a stranger, which was kind, and then to sell them at the market in the town for a year."]
+    good += ["One\nTwo\n" + prose]
+    docs = spark.createDataFrame(list(enumerate([*bad, *good])), "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.text) for r in quality_rules.quality_rules(docs, phrases=True).collect()}
+    assert [got[i][0] for i in range(len(got))] == [False] * len(bad) + [True] * len(good)
+    assert all(got[i][1] == "" for i in range(len(bad)))
+    assert [got[len(bad) + i][1] for i in range(4)] == [prose, prose, good[2], good[3]]
+
+
 def test_bpe_matches_the_library(spark, messy, none):
     library = Tokenizer.from_file(WORD)
     library.no_truncation()
