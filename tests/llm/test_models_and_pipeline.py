@@ -117,6 +117,22 @@ def test_vector_search(spark):
     assert sorted((r.rank, r.vec_id) for r in few) == sorted(enumerate(exact(range(5), x[:5].astype(float), 20, 20)[0], 1))
 
 
+def test_vector_search_fills_up_the_answer(spark):
+    """Every query has 20 rows, or all candidates, in few vectors, in a skewed table and where an id is repeated; all by the default parameters."""
+    rng = np.random.default_rng(2)
+    tables = {n: list(enumerate(rng.normal(size=(n, 8)))) for n in (16, 24, 32, 45, 60)}
+    rare = rng.normal(size=(31, 8))
+    tables["skew"] = [(i + 1000 if i else 0, rare[0]) for i in range(4000)] + [(20 * i, v) for i, v in enumerate(rare[1:], 1)]
+    tables["repeated"] = [(0, v) for v in rng.normal(size=(30, 8))] + list(enumerate(rng.normal(size=(12, 8)), 1))
+    for name, rows in tables.items():
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+        got = vector_search.search(df).select("query_id", "vec_id").collect()
+        ids = [i for i, _ in rows]
+        for q in {i for i in ids if i % 20 == 0}:
+            found = [r.vec_id for r in got if r.query_id == q]
+            assert q not in found and len(found) >= min(20, sum(i != q for i in ids)), (name, q)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(200, 300), (300, 201), (5, 5), (900, 400)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
