@@ -1,16 +1,16 @@
-"""Similarity join on the Jaccard coefficient of word n-grams, by a MinHash LSH forest.
+"""Similarity join on the Jaccard coefficient of word n-grams, by banded MinHash LSH.
 
-Each document has a signature for each tree of the forest; documents in the order
-of their signatures form a prefix trie.  The matched prefix is shortened from the
-deepest level until documents at the threshold meet in some tree with the target
-recall; the nodes of the tries at that depth are the candidate groups.  Every
-candidate is verified exactly on the sets of n-grams.
+Each document has a signature for each tree.  The length of the matched prefix is
+computed beforehand from the threshold, the number of trees and the target recall;
+only prefixes of that one length are made, each as one hash, so a tree is a band
+and no deeper level of a forest is built.  Documents with equal hashes are the
+candidate groups.  Every candidate is verified exactly on the sets of n-grams.
 
 How it is distributed
 ---------------------
 Documents with the same set of n-grams are one node, found by partial aggregation
 on a 128-bit fingerprint of the set, so copies are never compared or multiplied.
-A trie node links its members to its least member: links grow with the number of
+A candidate group links its members to its least member: links grow with the number of
 members, not of pairs.  Connected candidates are verified together, in pairs of
 blocks of at most about ``BLOCK`` nodes, by matrix products over the n-grams that
 occur twice in the pair of blocks.  A task returns counts of links and a spanning
