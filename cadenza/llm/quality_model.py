@@ -1,8 +1,10 @@
 """A quality classifier from positive and unlabelled texts.
 
 Trusted positives are labelled rows with quality 1 outside the held-out fold, at
-most ``sample`` of them; unlabelled text is a sample of the whole corpus of the
-same size.  The class prior is estimated as the share of quality 1 among the
+most ``sample`` of them; unlabelled text is a sample of the rows of the whole
+corpus, at most ``sample`` too, those with the least hash of id and text (equal
+rows count once).  The features are centred and scaled by their median and spread
+over every row, from counts of the values rounded to ``_GRAIN``.  The class prior is estimated as the share of quality 1 among the
 labelled rows outside the held-out fold.  A network with one hidden layer is
 fitted to the non-negative unbiased risk
 
@@ -40,6 +42,7 @@ PARTS, REST, CUT = 3, 1, 0.5
 HIDDEN, STEPS, RATE, DECAY = 16, 1500, 0.02, 1e-4
 MISSED = 0.001
 _TEXT_BYTES = 3_000_000
+_GRAIN, _MOST = 1e-4, 4.0
 _WINDOW = 5
 
 
@@ -125,11 +128,9 @@ def _backward(w: np.ndarray, x: np.ndarray, h: np.ndarray, dz: np.ndarray) -> np
     return np.concatenate([(x.T @ dh).ravel(), dh.sum(0), h.T @ dz, [dz.sum()]])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 5) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, middle: np.ndarray, spread: np.ndarray, seed: int = 5) -> Model:
     """Minimise the non-negative risk with the logistic loss, by mini-batches."""
-    middle = np.median(unlabelled, 0)
-    scale = np.maximum(unlabelled.std(0), 1e-3)
-    model = Model(middle, scale, np.zeros(0))
+    model = Model(middle, np.maximum(spread, 1e-3), np.zeros(0))
     p, u = model.normal(positive), model.normal(unlabelled)
     rng = np.random.default_rng(seed)
     d = p.shape[1]
@@ -163,15 +164,44 @@ def _described(rows: DataFrame) -> np.ndarray:
     return got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1)
 
 
+def median_and_spread(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of each feature over every row; only counts of rounded values leave the rows, so the order of rows can't matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.rint(np.minimum(describe(batch.column(0).to_pylist()), _MOST) / _GRAIN).astype(np.int64)
+            for i in range(x.shape[1]):
+                values, counts = np.unique(x[:, i], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i)), pa.array(values), pa.array(counts)], names=["i", "value", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "i long, value long, n long")
+    got = counted.groupBy("i", "value").agg(F.sum("n").alias("n")).toArrow().sort_by([("i", "ascending"), ("value", "ascending")])  # at most _MOST / _GRAIN + 1 rows a feature
+    feature, value, n = (got[c].to_numpy() for c in ("i", "value", "n"))
+    middle, spread = [], []
+    for i in range(int(feature[-1]) + 1):
+        v, w = value[feature == i] * _GRAIN, n[feature == i]
+        middle.append(v[np.searchsorted(np.cumsum(w), w.sum() / 2)])
+        spread.append(np.sqrt(np.average((v - np.average(v, weights=w)) ** 2, weights=w)))
+    return np.array(middle), np.array(spread)
+
+
+def unlabelled_rows(docs: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` different rows of the corpus, by a hash of id and text.  The hashes choose, so that no text is sorted."""
+    rows = docs.select(F.xxhash64(F.lit(3), "doc_id", "text").alias("h"), "text")
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).head()[0]
+    return rows.filter(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model | None:
     rows = training_rows(docs, labels, "quality", PARTS, REST, sample)
     total, good = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).head()
     if not good:
         return None
     positive = _described(rows.filter("y = 1"))
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
-    unlabelled = _described(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").limit(2 * sample))
-    return fit(positive, unlabelled, min(good / total, 0.99))
+    # the order of the rows decides which of them a mini-batch gets
+    unlabelled = _described(unlabelled_rows(docs, sample))
+    unlabelled = unlabelled[np.lexsort(unlabelled.T)]
+    return fit(positive, unlabelled, min(good / total, 0.99), *median_and_spread(docs))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:

@@ -86,6 +86,22 @@ def test_quality_model(spark, labelled):
     assert {r.score for r in quality_model.digest(docs, labels.limit(0)).collect()} == {1.0}
 
 
+def test_quality_model_sees_every_row(spark, monkeypatch):
+    """Centre and spread come from all rows; the unlabelled sample follows rows, also where one id holds many of them."""
+    r = random.Random(4)
+    text = lambda mark: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) + mark for _ in range(r.randint(12, 40)))
+    rows = [(i, text("")) for i in range(1500)] + [(7, text("%")) for _ in range(500)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(quality_model, "fit", lambda positive, unlabelled, prior, *rest: seen.update(u=unlabelled, rest=rest))
+    quality_model.learn(docs, labels, sample=400)
+    x = quality_model.describe([t for _, t in rows])
+    middle, spread = seen["rest"]
+    assert np.abs(middle - np.median(x, 0)).max() < 2e-3 and np.abs(spread - x.std(0)).max() < 2e-4
+    assert len(seen["u"]) == 400 and 0.15 < (seen["u"][:, 0] > 0).mean() < 0.35  # 500 of 2002 rows
+
+
 def exact(ids, x, every, k):
     out = {}
     for q, v in zip(ids, x, strict=True):
