@@ -238,10 +238,11 @@ def ngram_join(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The columns of ``docs``; of each class the row with the least id stays (one of them, if rows are equal)."""
+    """The columns of ``docs``; of each class the row with the least id stays (one of them, if rows are equal in id and text), and every row without a word."""
     stay = classes(docs, **options).filter("keeper").select("k1", "k2").distinct()
     text, doc_id = place(docs, "text"), place(docs, "doc_id")
     own = docs.select(*hidden(docs)).select("*", F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(1), doc_id, text).alias("k2"))
     met = own.join(stay, ["k1", "k2"], "left_semi")
     first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
-    return restored(met.withColumn("_nth", first).filter("_nth = 1"), docs)
+    wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return restored(met.withColumn("_nth", first).filter((F.col("_nth") == 1) | wordless), docs)

@@ -131,6 +131,12 @@ def test_ngram_join(spark, messy, none):
     assert ngram_join.ngram_join(none).count() == 0
 
 
+def test_rows_without_a_word_stay(spark):
+    rows = [(None, None, "en"), (None, None, "de"), (None, "", "en"), (None, "", "en"), (3, " \t\n", "en"), (3, " \t\n", "de"), (4, "one row of two", "en"), (4, "one row of two", "en")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert count(got.collect()) == count(rows[:-1])
+
+
 def test_ngram_join_of_a_large_group(spark, monkeypatch):
     """A group of near copies over several blocks: counts are whole, and the classes hold."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
