@@ -43,6 +43,7 @@ HIDDEN, STEPS, RATE, DECAY = 16, 1500, 0.02, 1e-4
 MISSED = 0.001
 _TEXT_BYTES = 3_000_000
 _GRAIN, _MOST = 1e-4, 4.0
+_SLICE = 500
 _WINDOW = 5
 
 
@@ -95,6 +96,11 @@ def describe(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _sliced(texts: pa.Array) -> np.ndarray:
+    """A row of numbers for each text; few of them are Python objects at a time."""
+    return np.concatenate([describe(texts.slice(a, _SLICE).to_pylist()) for a in range(0, max(1, len(texts)), _SLICE)])
+
+
 @dataclass
 class Model:
     middle: np.ndarray
@@ -169,7 +175,7 @@ def median_and_spread(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.rint(np.minimum(describe(batch.column(0).to_pylist()), _MOST) / _GRAIN).astype(np.int64)
+            x = np.rint(np.minimum(_sliced(batch.column(0)), _MOST) / _GRAIN).astype(np.int64)
             for i in range(x.shape[1]):
                 values, counts = np.unique(x[:, i], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i)), pa.array(values), pa.array(counts)], names=["i", "value", "n"])
@@ -211,8 +217,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            found = model.score(describe(texts)) if model and texts else np.ones(len(texts))
+            found = model.score(_sliced(batch.column(text))) if model and batch.num_rows else np.ones(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "_score"])
 
     done = docs.select(*hidden(docs)).mapInArrow(score, T.StructType([*hidden_fields(docs), T.StructField("_score", T.DoubleType())]))
