@@ -1,26 +1,34 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insults and threats with a weight, targets, negations,
-reporting words, the end of a clause, others.  Four small transducers read the
-symbols of a clause side by side (their composition is the product automaton):
-the pattern transducer passes on the weight of an insult or threat, and those of
-target, negation and reported speech say whether the weight is aimed at someone,
-denied, or reported.  A clause's evidence is what its paths emit under these four
-headings, and a text's evidence is the sum over its matched clauses.
-
-The words of address, negation and report are fixed values.  Insults are stems
+Words become symbols: insults, threats, targets, negations, reporting words, others.
+Five weighted transducers rewrite the symbols of a clause one by one:
+
+* ``INSULT`` makes a hit of each insult; further ones of a clause weigh more;
+* ``THREAT`` makes a hit where a target follows a threatening verb within three words;
+* ``NEGATION`` denies hits in the three words after a negation;
+* ``REPORT`` marks hits after a reporting verb;
+* ``TARGET`` marks the hits left as aimed, in a clause with a target anywhere, or plain.
+
+``GRAMMAR`` is their composition.  ``TARGET`` guesses at the start of a clause
+whether a target will come, and a wrong guess ends in no final state, so each clause has
+exactly one accepted path.  What that path emits under the four headings, times the
+weights of its arcs and of the words, is the clause's evidence; a text's evidence is the sum over its
+matched clauses.
+
+The words of address, negation, report and threat are fixed values.  Insults are stems
 (words and beginnings of words) learned from at most ``sample`` labelled rows by
 a likelihood-ratio test, and so are the weights of the four headings, which start
 from a prior: aimed evidence counts more, denied and reported evidence less.
 
 Everything is a function of one row apart from the counts of stems in the sample,
-which are summed in parts; the driver gets the best ``LEXICON`` stems.
+which are summed in parts; the driver gets the best ``LEXICON`` stems of the bounded sample.
 
 Defined results
 ---------------
-Null and empty texts have no evidence and get the score of such texts.  Without
+Null and empty texts have no evidence and get the score of such texts.  Very long
+texts are read whole.  Without
 usable labels every text gets that score from the prior.  Repeated rows score
-alike.  Other columns stay as they are.
+alike.  An empty table gives an empty one.  Other columns stay as they are; columns of the names added give way to the new ones.
 """
 
 from __future__ import annotations
@@ -45,7 +53,8 @@ PARTS, REST, CUT = 4, 2, 0.3
 LEXICON = 2000
 SHORTEST, LONGEST = 3, 10
 MIN_DOCS, MIN_G2, MIN_PRECISION = 5, 20.0, 0.5
-END = "$"
+CERTAIN, SAME = 0.75, 0.8
+END, TWICE = "$", "2 "
 
 # Words of address, negation, reporting and threat.
 TARGETS = frozenset("you your yours yourself u he she they them him her du dich dir ihr euch dein tu te toi vous ton vos tú usted ustedes te ti él ella".split())
@@ -57,43 +66,103 @@ THREAT_WEIGHT = 2.0
 _WORD = re.compile(r"[\w']+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 HEADINGS = ("plain", "aimed", "denied", "reported")
+_HEADING = {h: i for i, h in enumerate(HEADINGS)}
 
 
-@dataclass(frozen=True)
-class Transducer:
-    """States are numbers from 0; an arc leads from (state, symbol) to a state; other symbols take the state's default."""
-
-    arcs: dict[tuple[int, str], int]
-    default: dict[int, int]
-    on: frozenset[int]
-
-    def step(self, state: int, symbol: str) -> int:
-        return self.arcs.get((state, symbol), self.default.get(state, state))
-
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "other", "hit", "threatened", "denied", "reported", "aimed", "plain")
+Arc = tuple[str, float, int]
 
-#: A target stays in force to the end of the clause.
-TARGET = Transducer({(0, "target"): 1}, {}, frozenset({1}))
-#: A negation covers the three words after it.
-NEGATION = Transducer({(s, "negation"): 1 for s in range(5)}, {1: 2, 2: 3, 3: 4, 4: 0}, frozenset({2, 3, 4}))
-#: Reported speech lasts to the end of the clause.
-REPORT = Transducer({(0, "report"): 1}, {}, frozenset({1}))
 
-
-def clause_evidence(symbols: list[tuple[str, float]]) -> np.ndarray:
-    """What the composed transducers emit for one clause, by heading."""
-    out = np.zeros(len(HEADINGS))
-    aimed_later = any(s == "target" for s, _ in symbols)
-    state = (0, 0, 0)
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs lead from (state, symbol) to (symbol, weight, state); states are numbers, 0 the first."""
+
+    arcs: dict[tuple[int, str], tuple[Arc, ...]]
+    final: frozenset[int]
+
+    def paths(self, symbols: list[str]) -> list[list[tuple[str, float]]]:
+        """What each accepted path emits."""
+        now: list[tuple[int, list[tuple[str, float]]]] = [(0, [])]
+        for symbol in symbols:
+            now = [(to, [*done, (out, w)]) for state, done in now for out, w, to in self.arcs.get((state, symbol), ())]
+        return [done for state, done in now if state in self.final]
+
+
+def transducer(states: int, rules: dict[tuple[int, str], tuple[Arc, ...]], rest: dict[int, int], final: set[int]) -> Transducer:
+    """Symbols without a rule pass on unchanged, to the state that ``rest`` names or the same one."""
+    arcs = {(s, x): rules.get((s, x), ((x, 1.0, rest.get(s, s)),)) for s in range(states) for x in SYMBOLS}
+    return Transducer({k: v for k, v in arcs.items() if v}, frozenset(final))
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that applies ``second`` to what ``first`` emits; its states are the pairs that can be reached."""
+    number, todo = {(0, 0): 0}, [(0, 0)]
+    arcs: dict[tuple[int, str], tuple[Arc, ...]] = {}
+    while todo:
+        pair = todo.pop()
+        for symbol in SYMBOLS:
+            found = []
+            for middle, w1, a in first.arcs.get((pair[0], symbol), ()):
+                for out, w2, b in second.arcs.get((pair[1], middle), ()):
+                    if (a, b) not in number:
+                        number[a, b] = len(number)
+                        todo.append((a, b))
+                    found.append((out, w1 * w2, number[a, b]))
+            if found:
+                arcs[number[pair], symbol] = tuple(found)
+    return Transducer(arcs, frozenset(n for (a, b), n in number.items() if a in first.final and b in second.final))
+
+
+INSULT = transducer(2, {(0, "insult"): (("hit", 1.0, 1),), (1, "insult"): (("hit", 1.25, 1),)}, {}, {0, 1})
+THREAT = transducer(
+    4,
+    {(s, "threat"): (("other", 1.0, 3),) for s in range(4)} | {(s, "target"): (("threatened", THREAT_WEIGHT, 0),) for s in (1, 2, 3)},
+    {3: 2, 2: 1, 1: 0},
+    {0, 1, 2, 3},
+)
+NEGATION = transducer(
+    4,
+    {(s, "negation"): (("negation", 1.0, 3),) for s in range(4)} | {(s, x): (("denied", 1.0, s - 1),) for s in (1, 2, 3) for x in ("hit", "threatened")},
+    {3: 2, 2: 1, 1: 0},
+    {0, 1, 2, 3},
+)
+REPORT = transducer(2, {(0, "report"): (("report", 1.0, 1),)} | {(1, x): (("reported", 1.0, 1),) for x in ("hit", "threatened")}, {}, {0, 1})
+#: State 1 expects a target, 2 has seen one, 3 expects none.
+TARGET = transducer(
+    4,
+    {(0, x): ((x, 1.0, 1), (x, 1.0, 3)) for x in SYMBOLS}
+    | {(0, "hit"): (("aimed", 1.0, 1), ("plain", 1.0, 3))}
+    | {(s, "hit"): (("aimed", 1.0, s),) for s in (1, 2)}
+    | {(3, "hit"): (("plain", 1.0, 3),)}
+    | {(s, "target"): (("target", 1.0, 2),) for s in (0, 1, 2)}
+    | {(s, "threatened"): (("aimed", 1.0, 2),) for s in (0, 1, 2)}
+    | {(3, x): () for x in ("target", "threatened")},
+    {},
+    {0, 2, 3},
+)
+GRAMMAR = functools.reduce(compose, (INSULT, THREAT, NEGATION, REPORT, TARGET))
+
+
+def clause_evidence(symbols: list[tuple[str, float]], grammar: Transducer = GRAMMAR) -> np.ndarray:
+    """What the accepted path of one clause emits, by heading, weighted by arcs and words."""
+    now: dict[int, np.ndarray] = {0: np.zeros(len(HEADINGS))}
     for symbol, weight in symbols:
-        state = tuple(t.step(s, symbol) for t, s in zip((TARGET, NEGATION, REPORT), state, strict=True))
-        if weight > 0:
-            denied, reported = state[1] in NEGATION.on, state[2] in REPORT.on
-            out[2 if denied else 3 if reported else 1 if state[0] in TARGET.on or aimed_later else 0] += weight
-    return out
+        then: dict[int, np.ndarray] = {}
+        for state, seen in now.items():
+            for out, w, to in grammar.arcs.get((state, symbol), ()):
+                at = _HEADING.get(out)
+                if at is not None:
+                    grown = seen.copy()
+                    grown[at] += w * weight
+                else:
+                    grown = seen
+                then[to] = grown  # one path leads to each state
+        now = then
+    return sum((seen for state, seen in now.items() if state in grammar.final), np.zeros(len(HEADINGS)))
 
 
 class Grammar:
-    """The transducers with a lexicon of stems."""
+    """The composed transducers with a lexicon of stems."""
 
     def __init__(self, stems: dict[str, float]) -> None:
         self.stems = stems
@@ -110,8 +179,8 @@ class Grammar:
             return "insult", weight
         for name, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)):
             if word in words:
-                return name, THREAT_WEIGHT if name == "threat" else 0.0
-        return "other", 0.0
+                return name, 1.0
+        return "other", 1.0
 
     def evidence(self, text: str | None) -> np.ndarray:
         out = np.zeros(len(HEADINGS))
@@ -138,7 +207,9 @@ def stems_of_word(word: str) -> list[str]:
 
 
 def stems_of(text: str) -> set[str]:
-    return {s for w in set(_WORD.findall(text.lower())) for s in stems_of_word(w)}
+    """The stems of a text; those of two words or more also marked by ``TWICE``."""
+    n = Counter(s for w in _WORD.findall(text.lower()) for s in stems_of_word(w))
+    return {*n, *(TWICE + s for s, k in n.items() if k > 1)}
 
 
 def _count_stems(rows: DataFrame) -> DataFrame:
@@ -158,7 +229,11 @@ def _count_stems(rows: DataFrame) -> DataFrame:
 
 
 def learn_stems(rows: DataFrame) -> dict[str, float]:
-    """Stems that toxic rows hold more often than chance, with the logarithm of how much more often."""
+    """Stems that toxic rows hold more often than chance, with the logarithm of how much more often.
+
+    A stem may count by its presence or by two words that have it; the latter is how
+    beginnings tell that clean texts hold once by accident.
+    """
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).head()
     if not 0 < toxic < total:
         return {}
@@ -170,7 +245,8 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     z2 = 1.64**2  # Wilson's lower bound of the share of toxic rows among those with the stem
     sure = (p / n + z2 / (2 * n) - 1.64 * F.sqrt(p / n * (1 - p / n) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     best = _count_stems(rows).select("stem", g2.alias("g2"), weight.alias("w"), "p", sure.alias("sure")).filter((p >= MIN_DOCS) & (F.col("sure") >= MIN_PRECISION) & (F.col("g2") >= MIN_G2))
-    found = best.orderBy(F.desc("g2"), "stem").limit(LEXICON).collect()
+    # of stems in the same rows the longest stands for all: it says least about other words
+    found = best.orderBy(F.desc(F.round("g2", 6)), F.desc(F.length("stem")), "stem").limit(LEXICON).collect()
     place_of = {r["stem"]: i for i, r in enumerate(found)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,17 +258,32 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
     rows_of = np.repeat(np.arange(seen.num_rows), np.diff(seen["hits"].combine_chunks().offsets.to_numpy()))
     has = np.zeros((seen.num_rows, len(found)), bool)
     has[rows_of, seen["hits"].combine_chunks().flatten().to_numpy()] = True
-    return {found[i]["stem"]: found[i]["w"] for i in cover(has, seen["y"].to_numpy() == 1)}
+    stems: dict[str, float] = {}
+    for i in cover(has, seen["y"].to_numpy() == 1, np.array([r["sure"] >= CERTAIN for r in found], bool)):
+        stem, w = found[i]["stem"], found[i]["w"]
+        name, w = (stem.removeprefix(TWICE), w / 2) if stem.startswith(TWICE) else (stem, w)
+        stems[name] = max(w, stems.get(name, 0.0))
+    return stems
 
 
 def _g2(k: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
 
 
-def cover(has: np.ndarray, toxic: np.ndarray) -> list[int]:
-    """Stems that explain rows which no stronger stem explains: words that only come along in long toxic texts stay out."""
+def cover(has: np.ndarray, toxic: np.ndarray, certain: np.ndarray) -> list[int]:
+    """Certain stems that say something new, then stems that explain rows which no stronger stem explains.
+
+    The columns come by falling strength.  A certain stem whose rows are all but the
+    same as a chosen one's adds nothing; words that only come along in long toxic
+    texts explain no row of their own and stay out.
+    """
     chosen: list[int] = []
-    open_ = np.ones(len(has), bool)
+    sizes = has.sum(0)
+    for i in np.flatnonzero(certain):
+        both = (has[:, chosen] & has[:, i, None]).sum(0)
+        if not (both > SAME * np.maximum(sizes[chosen], sizes[i])).any():
+            chosen.append(int(i))
+    open_ = ~has[:, chosen].any(1)
     while len(chosen) < has.shape[1]:
         n, p = has[open_].sum(0).astype(float), has[open_ & toxic].sum(0).astype(float)
         base = toxic[open_].mean() if open_.any() else 0.0
@@ -212,7 +303,7 @@ PRIOR = np.array([1.0, 1.2, 0.4, 0.6, -4.0])
 
 
 def features(evidence: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.minimum(evidence, 12.0), np.ones(len(evidence))])
+    return np.column_stack([evidence, np.ones(len(evidence))])
 
 
 def fit_headings(evidence: np.ndarray, y: np.ndarray) -> np.ndarray:
