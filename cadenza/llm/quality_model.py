@@ -3,23 +3,28 @@
 Trusted positives are labelled rows with quality 1 outside the held-out fold, at
 most ``sample`` of them; unlabelled text is a sample of the rows of the whole
 corpus, at most ``sample`` too, those with the least hash of id and text (equal
-rows count once).  The features are centred and scaled by their median and spread
-over every row, from counts of the values rounded to ``_GRAIN``.  The class prior is estimated as the share of quality 1 among the
-labelled rows outside the held-out fold.  A network with one hidden layer is
-fitted to the non-negative unbiased risk
+rows count once).  Labels of bad texts are not used.  The features are centred and scaled by their median and
+spread over every row, from counts of the values rounded to ``_GRAIN``.
+
+The class prior is estimated from positives and unlabelled text alone: a classifier
+that tells the two apart is fitted to one half of each, and on the other half the
+share of unlabelled text above a cut can't be less than the prior times the share
+of positives above it.  The cut with the least upper bound of that ratio gives the
+prior (the median of ``SPLITS`` random halvings).  A network with one hidden layer is then fitted to the non-negative unbiased risk
 
     prior * E+[loss(+)] + max(0, Eu[loss(-)] - prior * E+[loss(-)])
 
-where, once the second term goes below zero, its gradient is followed upwards.
+where, once the second term goes below zero, its gradient is followed upwards.  A
+text is good where the network says that this is likelier than not.
 
 A text is described by the shares of kinds of characters, words, lines and
 repeated five-word windows.  Scoring is a function of one row.
 
 Defined results
 ---------------
-Null and empty texts are described by zeros and get a score like any other.
-Without trusted positives every score is 1, so that nothing is rejected unjudged.
-Repeated rows score alike.  Other columns stay as they are.
+Null and empty texts are described by zeros and get a score like any other.  Very
+long texts are described whole.  Without trusted positives every score is 1, so that nothing is rejected unjudged.
+Repeated rows score alike.  An empty table gives an empty one.  Other columns stay as they are; columns of the names added give way to the new ones.
 """
 
 from __future__ import annotations
@@ -35,12 +40,12 @@ from pyspark.sql import types as T
 
 from cadenza.llm.bpe import blocks
 from cadenza.llm.frames import hidden, hidden_fields, place, restored
-from cadenza.llm.training import SAMPLE, adam, held_out, sigmoid, training_rows
+from cadenza.llm.training import SAMPLE, adam, held_out, least_hashed, sigmoid, training_rows
 from cadenza.llm.words import window_hashes, words_of
 
 PARTS, REST, CUT = 3, 1, 0.5
 HIDDEN, STEPS, RATE, DECAY = 16, 1500, 0.02, 1e-4
-MISSED = 0.001
+PRIOR_STEPS, LEAST_SHARE, CONFIDENCE, SPLITS = 600, 0.2, 1.64, 3
 _TEXT_BYTES = 3_000_000
 _GRAIN, _MOST = 1e-4, 4.0
 _SLICE = 500
@@ -106,6 +111,7 @@ class Model:
     middle: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    prior: float = 0.5
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return forward(self.weights, self.normal(x))[0]
@@ -134,27 +140,59 @@ def _backward(w: np.ndarray, x: np.ndarray, h: np.ndarray, dz: np.ndarray) -> np
     return np.concatenate([(x.T @ dh).ravel(), dh.sum(0), h.T @ dz, [dz.sum()]])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, middle: np.ndarray, spread: np.ndarray, seed: int = 5) -> Model:
-    """Minimise the non-negative risk with the logistic loss, by mini-batches."""
+def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two terms of the risk under the logistic loss, and their gradients."""
+    zp, hp = forward(w, xp)
+    zu, hu = forward(w, xu)
+    # loss(+) = log(1 + exp(-z)), loss(-) = log(1 + exp(z))
+    good = prior * np.logaddexp(0, -zp).mean()
+    bad = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    plus = _backward(w, xp, hp, -prior * sigmoid(-zp) / len(zp))
+    minus = _backward(w, xu, hu, sigmoid(zu) / len(zu)) - _backward(w, xp, hp, prior * sigmoid(zp) / len(zp))
+    return good, bad, plus, minus
+
+
+def _start(d: int, rng: np.random.Generator) -> np.ndarray:
+    return np.concatenate([rng.normal(0, (2 / d) ** 0.5, d * HIDDEN), np.zeros(HIDDEN), rng.normal(0, (1 / HIDDEN) ** 0.5, HIDDEN), [0.0]])
+
+
+def class_prior(p: np.ndarray, u: np.ndarray, seed: int = 5) -> float:
+    """The share of positives in ``u``, from descriptions of positives and unlabelled texts (centred and scaled)."""
+    rng = np.random.default_rng(seed)
+    p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
+    (p1, p2), (u1, u2) = np.array_split(p, 2), np.array_split(u, 2)
+    if not len(p2) or not len(u2):
+        return 0.5
+
+    def gradient(w: np.ndarray, _: int) -> np.ndarray:
+        xp, xu = p1[rng.integers(0, len(p1), 512)], u1[rng.integers(0, len(u1), 512)]
+        zp, hp = forward(w, xp)
+        zu, hu = forward(w, xu)
+        return _backward(w, xp, hp, -sigmoid(-zp) / len(zp)) + _backward(w, xu, hu, sigmoid(zu) / len(zu)) + DECAY * w
+
+    w = adam(gradient, _start(p.shape[1], rng), PRIOR_STEPS, RATE)
+    zp, zu = np.sort(forward(w, p2)[0]), np.sort(forward(w, u2)[0])
+    cuts = zp[: max(1, int(len(zp) * (1 - LEAST_SHARE)))]
+    share_p = 1 - np.searchsorted(zp, cuts) / len(zp)
+    share_u = 1 - np.searchsorted(zu, cuts) / len(zu)
+    doubt = CONFIDENCE * (np.sqrt(share_u * (1 - share_u) / len(zu)) + np.sqrt(share_p * (1 - share_p) / len(zp)))
+    best = int(np.argmin((share_u + doubt) / share_p))
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, middle: np.ndarray, spread: np.ndarray, seed: int = 5) -> Model:
+    """Estimate the prior and minimise the non-negative risk, by mini-batches."""
     model = Model(middle, np.maximum(spread, 1e-3), np.zeros(0))
     p, u = model.normal(positive), model.normal(unlabelled)
+    model.prior = float(np.median([class_prior(p, u, seed + i) for i in range(SPLITS)]))
     rng = np.random.default_rng(seed)
-    d = p.shape[1]
-    start = np.concatenate([rng.normal(0, (2 / d) ** 0.5, d * HIDDEN), np.zeros(HIDDEN), rng.normal(0, (1 / HIDDEN) ** 0.5, HIDDEN), [0.0]])
 
     def gradient(w: np.ndarray, _: int) -> np.ndarray:
         xp, xu = p[rng.integers(0, len(p), 512)], u[rng.integers(0, len(u), 1024)]
-        zp, hp = forward(w, xp)
-        zu, hu = forward(w, xu)
-        # loss(+) = log(1 + exp(-z)), loss(-) = log(1 + exp(z))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        plus = _backward(w, xp, hp, -prior * sigmoid(-zp) / len(zp))
-        minus = _backward(w, xu, hu, sigmoid(zu) / len(zu)) - _backward(w, xp, hp, prior * sigmoid(zp) / len(zp))
-        return (plus + minus if negative >= 0 else -minus) + DECAY * w
-
-    model.weights = adam(gradient, start, STEPS, RATE)
-    # the cut lies where all but a few trusted positives pass
-    model.weights[-1] -= np.quantile(model.raw(positive), MISSED)
+        _, bad, plus, minus = risk(w, xp, xu, model.prior)
+        return (plus + minus if bad >= 0 else -minus) + DECAY * w
+
+    model.weights = adam(gradient, _start(p.shape[1], rng), STEPS, RATE)
     return model
 
 
@@ -163,7 +201,7 @@ def _described(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = describe(batch.column(0).to_pylist())
+            x = _sliced(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], names=["x"])
 
     got = rows.select("text").mapInArrow(run, "x array<double>").toArrow()
@@ -192,22 +230,20 @@ def median_and_spread(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unlabelled_rows(docs: DataFrame, sample: int) -> DataFrame:
-    """At most ``sample`` different rows of the corpus, by a hash of id and text.  The hashes choose, so that no text is sorted."""
-    rows = docs.select(F.xxhash64(F.lit(3), "doc_id", "text").alias("h"), "text")
-    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).head()[0]
-    return rows.filter(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text"))
+    """The texts of at most ``sample`` different rows of the corpus, by a hash of id and text."""
+    return least_hashed(docs.select(F.xxhash64(F.lit(3), "doc_id", "text").alias("h"), "text"), sample)
+
+
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """In an order that doesn't depend on how the rows arrived: it decides which of them a mini-batch gets."""
+    return x[np.lexsort(x.T)]
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model | None:
-    rows = training_rows(docs, labels, "quality", PARTS, REST, sample)
-    total, good = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).head()
-    if not good:
+    positive = _described(training_rows(docs, labels.filter("quality = 1"), "quality", PARTS, REST, sample))
+    if not len(positive):
         return None
-    positive = _described(rows.filter("y = 1"))
-    # the order of the rows decides which of them a mini-batch gets
-    unlabelled = _described(unlabelled_rows(docs, sample))
-    unlabelled = unlabelled[np.lexsort(unlabelled.T)]
-    return fit(positive, unlabelled, min(good / total, 0.99), *median_and_spread(docs))
+    return fit(_sorted(positive), _sorted(_described(unlabelled_rows(docs, sample))), *median_and_spread(docs))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:

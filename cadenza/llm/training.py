@@ -21,24 +21,36 @@ def held_out(doc_id: Column, parts: int, rest: int) -> Column:
     return F.coalesce(fold(doc_id, parts) == rest, F.lit(True))
 
 
+def least_hashed(rows: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` different rows (equal ones count once), those with the least hash.  The hashes choose, so that no text is sorted.
+
+    ``rows`` has a column ``h`` that names a row.
+    """
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).head()[0]
+    own = [F.first(c).alias(c) for c in rows.columns if c != "h"]
+    return rows.filter(F.col("h") <= F.lit(last)).groupBy("h").agg(*own)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, rest: int, sample: int) -> DataFrame:
     """``text`` and ``y`` of at most ``sample`` labelled rows outside the held-out fold.
 
     The labels are few by construction (``sample`` rows of two numbers), so they are
-    sent to the documents and no text is moved.
+    sent to the documents.  An id that many rows share counts once for each different text,
+    and rows beyond ``sample`` are left out by a hash.
     """
     own = labels.select("doc_id", F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), parts, rest))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("text", F.col("y").cast("int").alias("y"))
+    met = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select(F.xxhash64(F.lit(3), "doc_id", "text").alias("h"), "text", F.col("y").cast("int").alias("y"))
+    return least_hashed(met, sample).select("text", "y")
 
 
 def adam(gradient: Callable[[np.ndarray, int], np.ndarray], start: np.ndarray, steps: int, rate: float) -> np.ndarray:
-    """Minimise by Adam; ``gradient`` takes the parameters and the step's number."""
+    """Minimise by Adam with a rate that falls to a tenth; ``gradient`` takes the parameters and the step's number."""
     x, m, v = start.copy(), np.zeros_like(start), np.zeros_like(start)
     for t in range(1, steps + 1):
         g = gradient(x, t)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        x -= rate * (1 - 0.9 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return x
 
 
