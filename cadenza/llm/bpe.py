@@ -16,7 +16,8 @@ Defined results
 Null and empty texts have no ids and decode to the empty text.  Texts of any
 length are encoded whole.  Repeated rows are encoded alike.  Special tokens in a
 text are recognised as the file says.  Letters and digits that entered Unicode
-after version 15 follow Python's tables, which may differ from the library's.  Other columns stay as they are.
+after version 15 follow Python's tables, which may differ from the library's.  An empty
+table gives an empty one.  Other columns stay as they are; columns of the names added give way to the new ones.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.frames import hidden, hidden_fields, place, restored
+from cadenza.llm.frames import hidden_fields, hide, place, restored, take
 
 BLOCK_BYTES = 6_000_000
 REMEMBERED = 300_000
@@ -201,7 +202,7 @@ def _apply(docs: DataFrame, tokenizer: str, work, fields: list[T.StructField]) -
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *work(bpe, texts[a:b])], names=[*part.schema.names, *(f.name for f in fields)])
 
-    return docs.select(*hidden(docs)).mapInArrow(run, T.StructType([*hidden_fields(docs), *fields]))
+    return hide(docs).mapInArrow(run, T.StructType([*hidden_fields(docs), *fields]))
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -223,7 +224,7 @@ def decode(df: DataFrame, tokenizer: str, column: str = "ids") -> DataFrame:
             texts = [bpe.decode(np.array(i or [], np.int64)) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_decoded"])
 
-    done = df.select(*hidden(df)).mapInArrow(run, T.StructType([*hidden_fields(df), T.StructField("_decoded", T.StringType())]))
+    done = hide(df).mapInArrow(run, T.StructType([*hidden_fields(df), T.StructField("_decoded", T.StringType())]))
     return restored(done, df, add={"decoded": F.col("_decoded")})
 
 
@@ -236,5 +237,5 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
         return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids]), pa.array(decoded)]
 
     fields = [T.StructField("_n", T.LongType()), T.StructField("_ids", T.StringType()), T.StructField("_decoded", T.StringType())]
-    rows = docs.select("doc_id", "text")
+    rows = take(docs, "doc_id", "text")
     return _apply(rows, tokenizer, work, fields).select(F.col("_c0").alias("doc_id"), F.col("_n").alias("n_tokens"), F.col("_ids").alias("ids_sha256"), F.col("_decoded").alias("decoded_sha256"))

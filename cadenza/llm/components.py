@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.storage import cut
+from cadenza.llm.storage import cut, free, made
 
 
 def _mirror(edges: DataFrame) -> DataFrame:
@@ -32,13 +32,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating stars: a logarithmic number of rounds, each linear in the edges and
     written to the shared folder.  Nodes of any degree are aggregated in parts, and
-their least neighbours are written before they meet the edges again, so that Spark
-can split the edges of a node with very many.
+    their least neighbours are written before they meet the edges again, so that Spark
+    can split the edges of a node with very many.
     """
+    spark = edges.sparkSession
     now = cut(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    first = len(made(spark)) - 1
     state = None
     while True:
         now = cut(_small_star(cut(_large_star(now))))
+        free(spark, first, keep=1)  # what the round read
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head())
         if seen == state:
             break

@@ -7,19 +7,23 @@ that holds them.
 
 How it is distributed
 ---------------------
-Only 128-bit hashes of keys travel.  They are range-partitioned with a salt, so
+Texts are split and hashed once, and only 128-bit hashes of keys travel; they are
+written to the shared folder.  There they are range-partitioned with a salt, so
 that a line in a third of all documents is cut over many ranges, and sorted by
 document (largest first) and position.  One pass over that order streams each
 document's first occurrence of a key; these first occurrences are counted with
-partial aggregation.  The repeated keys are written to the shared folder and meet the
-occurrences in an equi-join that Spark may split, and each document gets back a bitmap of lines to drop, 63 lines
-to a word.  Texts move once, to meet their bitmaps.
+partial aggregation.  The repeated keys are written too and meet the
+occurrences in an equi-join that Spark may split.  Each document gets back a keep bitmap
+of 63 lines to a word, without the words whose lines all stay.  Texts move once, to meet
+their bitmaps.
 
 Defined results
 ---------------
-Null and empty texts are one empty line.  Rows with the same id and text count as
+Null and empty texts are one empty line; very long ones are split whole.  An empty
+table gives an empty one.  Rows with the same id and text count as
 one document, and all rows with the largest doc_id keep the line.  Null ids are
-smaller than any other.  Other columns stay as they are.
+smaller than any other.  Other columns stay as they are; columns of the names added
+give way to the new ones.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.frames import hidden, place, restored
+from cadenza.llm.frames import hide, place, restored, take
 from cadenza.llm.storage import cut, parallelism
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -35,6 +39,7 @@ SALTS = 64
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BITS = 63
+_ALL = (1 << _BITS) - 1
 
 
 def line_key(line):
@@ -59,34 +64,35 @@ def repeated_keys(found: DataFrame, parts: int, min_docs: int) -> DataFrame:
     return first.groupBy("_h1", "_h2").agg(F.count("*").alias("_docs"), F.max("_id").alias("_keeper")).filter(F.col("_docs") >= min_docs)
 
 
-def drop_bitmaps(found: DataFrame, repeated: DataFrame) -> DataFrame:
-    """For each row that loses lines, a map from word number to the bits of the lines to drop."""
+def keep_bitmaps(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """For each row that loses lines, a map from word number to the bits of the lines that stay; words missing there keep all."""
     drops = found.join(repeated, ["_h1", "_h2"]).filter(~F.col("_id").eqNullSafe(F.col("_keeper")))
     word = F.floor(F.col("_pos") / _BITS)
-    bits = drops.groupBy("_row", "_id", word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, _pos % {_BITS})")).alias("_bits"))
-    return bits.groupBy("_row", "_id").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_drop"))
+    gone = drops.groupBy("_row", "_id", word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, _pos % {_BITS})")).alias("_gone"))
+    kept = gone.withColumn("_bits", F.lit(_ALL).bitwiseXOR(F.col("_gone")))
+    return kept.groupBy("_row", "_id").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_keep"))
 
 
 def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The columns of ``docs`` with the kept lines as ``text``, and ``n_lines``, ``n_dropped`` and ``drop_bits``."""
+    """The columns of ``docs`` with the kept lines as ``text``, and ``n_lines``, ``n_dropped`` and ``keep_bits``."""
     parts = parallelism(docs.sparkSession)
     text, doc_id = place(docs, "text"), place(docs, "doc_id")
-    own = docs.select(*hidden(docs))
+    own = hide(docs)
     rows = own.select(F.xxhash64(doc_id, text).alias("_row"), F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("_lines_of"))
-    found = occurrences(rows, min_chars)
+    found = cut(occurrences(rows, min_chars))
     # as a table of their own the keys have a known size, and the join's other side can be split where a key is hot
     repeated = cut(repeated_keys(found, parts, min_docs))
-    marks = drop_bitmaps(found, repeated).withColumnsRenamed({"_row": "_mark_row", "_id": "_mark_id"})
+    marks = keep_bitmaps(found, repeated).withColumnsRenamed({"_row": "_mark_row", "_id": "_mark_id"})
     keyed = own.withColumn("_row", F.xxhash64(doc_id, text))
     met = keyed.join(marks, (F.col("_row") == F.col("_mark_row")) & F.col(doc_id).eqNullSafe(F.col("_mark_id")), "left")
     met = met.withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
-    kept = F.expr(f"filter(_lines, (x, i) -> coalesce(_drop[CAST(floor(i / {_BITS}) AS BIGINT)], 0L) & shiftleft(1L, i % {_BITS}) = 0L)")
-    met = met.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
-    counts = {"n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"), "drop_bits": F.col("_drop")}
-    whole = F.when(F.col("_drop").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join("_kept", "\n"))
+    kept = F.expr(f"filter(_lines, (x, i) -> coalesce(_keep[CAST(floor(i / {_BITS}) AS BIGINT)], {_ALL}L) & shiftleft(1L, i % {_BITS}) <> 0L)")
+    met = met.withColumn("_kept", F.when(F.col("_keep").isNull(), F.col("_lines")).otherwise(kept))
+    counts = {"n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"), "keep_bits": F.col("_keep")}
+    whole = F.when(F.col("_keep").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join("_kept", "\n"))
     return restored(met, docs, {"text": whole}, counts)
 
 
 def digest(result: DataFrame) -> DataFrame:
     """The contract's columns of a result of :func:`line_dedup`."""
-    return result.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return take(result, "doc_id", "n_lines", "n_dropped", "text").select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -39,13 +39,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm.bpe import blocks
 from cadenza.llm.components import components
-from cadenza.llm.frames import hidden, place, restored
+from cadenza.llm.frames import hide, place, restored, take
 from cadenza.llm.storage import cut
 from cadenza.llm.words import mix, window_hashes, words_of
 
@@ -135,7 +135,7 @@ def _described(docs: DataFrame, n: int, trees: int, depth: int, deepest: int) ->
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    return take(docs, "doc_id", "text").select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
 
 
 def _members(first: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -291,7 +291,7 @@ def _binned(units: DataFrame, weight: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> DataFrame:
-    """``k1, k2, id, class_id, n_links, keeper`` for every row; k1 and k2 are hashes of the row."""
+    """``k1, k2, id, class_id, n_links, keeper, empty`` for every row; k1 and k2 are hashes of the row."""
     depth = forest_depth(threshold, trees, recall, deepest)
     rows = cut(_described(docs, n, trees, depth, deepest))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "n", "keys", "sig")
@@ -327,6 +327,7 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, n: int = NGRAM, tr
         F.when(empty, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
         F.when(empty, F.lit(0).cast("long")).otherwise(F.col("links")).alias("n_links"),
         (empty | ((F.col("head.k1") == F.col("k1")) & (F.col("head.k2") == F.col("k2")))).alias("keeper"),
+        empty.alias("empty"),
     )
 
 
@@ -337,10 +338,11 @@ def ngram_join(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The columns of ``docs``; of each class the row with the least id stays (one of them, if rows are equal in id and text), and every row without a word."""
-    stay = classes(docs, **options).filter("keeper").select("k1", "k2").distinct()
+    stay = classes(docs, **options).filter("keeper").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("empty").alias("empty"))
+    stay = cut(stay)
     text, doc_id = place(docs, "text"), place(docs, "doc_id")
-    own = docs.select(*hidden(docs)).select("*", F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(1), doc_id, text).alias("k2"))
-    met = own.join(stay, ["k1", "k2"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
-    wordless = ~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return restored(met.withColumn("_nth", first).filter((F.col("_nth") == 1) | wordless), docs)
+    own = hide(docs).select("*", F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(1), doc_id, text).alias("k2"))
+    once = own.join(stay.filter("n = 1 OR empty"), ["k1", "k2"], "left_semi")
+    # copies are combined where they lie, so a row stored very often is no burden
+    several = own.join(stay.filter("n > 1 AND NOT empty"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return restored(once.unionByName(several), docs)

@@ -19,7 +19,7 @@ Defined results
 ---------------
 Null and empty texts have the end token alone.  Texts of any length are encoded
 whole.  Rows that are equal in every column are packed each for itself.  An empty
-table gives an empty one.
+table gives an empty one.  Other columns don't take part and may have any name.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.llm.frames import take
 from cadenza.llm.storage import cut, parallelism
 
 CAPACITY, END = 2048, 1
@@ -80,8 +81,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
                 columns = np.array(rows, np.int64).reshape(-1, 4).T
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take, pa.int32())), *map(pa.array, columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
-    return docs.select("doc_id", "text").mapInArrow(pieces, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
+    return take(docs, "doc_id", "text").mapInArrow(pieces, schema)
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -167,6 +168,6 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, *, capacity: i
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(cuts), pa.int32())), pa.array(list(cuts), pa.int64()), parts], names=["doc_id", "start", "ids"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
-    cutted = docs.select("doc_id", "text").mapInArrow(ids, schema)
+    cutted = take(docs, "doc_id", "text").mapInArrow(ids, schema)
     met = cutted.join(placed, ["doc_id", "start"]).groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"))
     return met.select("sequence_id", F.flatten("_parts.ids").alias("ids"))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm.bpe import blocks
-from cadenza.llm.frames import hidden, hidden_fields, place, restored
+from cadenza.llm.frames import hidden_fields, hide, place, restored, take
 from cadenza.llm.training import SAMPLE, adam, held_out, least_hashed, sigmoid, training_rows
 from cadenza.llm.words import window_hashes, words_of
 
@@ -218,7 +218,7 @@ def median_and_spread(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 values, counts = np.unique(x[:, i], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i)), pa.array(values), pa.array(counts)], names=["i", "value", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "i long, value long, n long")
+    counted = take(docs, "text").mapInArrow(run, "i long, value long, n long")
     got = counted.groupBy("i", "value").agg(F.sum("n").alias("n")).toArrow().sort_by([("i", "ascending"), ("value", "ascending")])  # at most _MOST / _GRAIN + 1 rows a feature
     feature, value, n = (got[c].to_numpy() for c in ("i", "value", "n"))
     middle, spread = [], []
@@ -231,7 +231,7 @@ def median_and_spread(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def unlabelled_rows(docs: DataFrame, sample: int) -> DataFrame:
     """The texts of at most ``sample`` different rows of the corpus, by a hash of id and text."""
-    return least_hashed(docs.select(F.xxhash64(F.lit(3), "doc_id", "text").alias("h"), "text"), sample)
+    return least_hashed(take(docs, "doc_id", "text").select(F.xxhash64(F.lit(3), "doc_id", "text").alias("h"), "text"), sample)
 
 
 def _sorted(x: np.ndarray) -> np.ndarray:
@@ -256,7 +256,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -
             found = model.score(_sliced(batch.column(text))) if model and batch.num_rows else np.ones(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "_score"])
 
-    done = docs.select(*hidden(docs)).mapInArrow(score, T.StructType([*hidden_fields(docs), T.StructField("_score", T.DoubleType())]))
+    done = hide(docs).mapInArrow(score, T.StructType([*hidden_fields(docs), T.StructField("_score", T.DoubleType())]))
     add = {
         "held_out": held_out(F.col(place(docs, "doc_id")), PARTS, REST),
         "score": F.col("_score"),
@@ -267,4 +267,4 @@ def quality_model(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns, from the columns that a score may depend on."""
-    return quality_model(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+    return quality_model(take(docs, "doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")

@@ -11,14 +11,16 @@ How it is distributed
 Only the number of documents in each cell reaches the driver: a table of fixed
 size, whatever the input.  From it the driver lays out segments (a range of ranks
 in a cell, its shard, its first slot); there are at most two for each cell and
-one for each shard, which bounds the broadcast.  Ranks are taken inside a cell.
+one for each shard, which bounds the broadcast.  Ranks are taken inside a part of a
+cell, of which a cell has ``SALTS`` by id and text, and the parts before are added.
 
 Defined results
 ---------------
 Null texts have size 16 and the checksum of the empty text.  Null ids are keys
 like any other.  Equal texts under different ids are spread over the ring; rows
 equal in id and text share a cell, in any order.  An empty table gives an empty
-one.  Other columns stay as they are.
+one.  Very long texts are measured whole.  Other columns stay as they are; columns of
+the names added give way to the new ones.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.frames import hidden, place, restored
+from cadenza.llm.frames import hide, place, restored, take
+from cadenza.llm.storage import cut
 from cadenza.llm.words import mix
 
-SHARDS, VNODES, CELLS = 40, 64, 1 << 14
+SHARDS, VNODES, CELLS, SALTS = 40, 64, 1 << 14, 16
 
 
 def ring(shards: int, vnodes: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +97,16 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, vnodes: int = VNOD
     spark = docs.sparkSession
     text, doc_id = F.col(place(docs, "text")), F.col(place(docs, "doc_id"))
     plain = F.coalesce(text, F.lit(""))
-    cell = F.pmod(F.xxhash64(doc_id), F.lit(cells)).cast("int")
-    rows = docs.select(*hidden(docs)).select("*", cell.alias("_cell"), (F.octet_length(plain) + 16).cast("long").alias("_size"), F.crc32(plain.cast("binary")).alias("_crc"))
-    own = docs.select("doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("_cell"))
-    counts = {r[0]: r[1] for r in own.groupBy("_cell").count().collect()}  # at most ``cells`` rows
+    cell, salt = F.pmod(F.xxhash64(doc_id), F.lit(cells)).cast("int"), F.pmod(F.xxhash64("_crc", doc_id, F.lit(5)), F.lit(SALTS)).cast("int")
+    rows = hide(docs).select("*", cell.alias("_cell"), (F.octet_length(plain) + 16).cast("long").alias("_size"), F.crc32(plain.cast("binary")).alias("_crc")).withColumn("_salt", salt)
+    # at most ``cells * SALTS`` rows
+    sizes = rows.groupBy("_cell", "_salt").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_cell").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut(sizes.select("_cell", "_salt", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    counts = {r[0]: r[1] for r in offsets.groupBy("_cell").agg(F.sum("_n")).collect()}  # at most ``cells`` rows
     plan = spark.createDataFrame(layout(counts, shards, vnodes, cells), "_at int, _low long, _high long, _shard int, _slot0 long")
-    ranked = rows.withColumn("_rank", (F.row_number().over(Window.partitionBy("_cell").orderBy(doc_id, "_crc", "_size")) - 1).cast("long"))
+    inside = F.row_number().over(Window.partitionBy("_cell", "_salt").orderBy(doc_id, "_crc", "_size")) - 1
+    ranked = rows.withColumn("_in", inside).join(offsets.drop("_n"), ["_cell", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in"))
     met = ranked.join(F.broadcast(plan), (F.col("_cell") == F.col("_at")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
     add = {
         "size": F.col("_size"),
@@ -114,4 +121,4 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, vnodes: int = VNOD
 
 def digest(result: DataFrame) -> DataFrame:
     """The contract's columns of a result of :func:`shard_documents`."""
-    return result.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return take(result, "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

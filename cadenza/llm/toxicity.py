@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.llm.frames import hidden, hidden_fields, place, restored
+from cadenza.llm.frames import hidden_fields, hide, place, restored, take
 from cadenza.llm.training import SAMPLE, adam, held_out, sigmoid, training_rows
 
 PARTS, REST, CUT = 4, 2, 0.3
@@ -345,7 +345,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "_score", "_evidence"])
 
     fields = [*hidden_fields(docs), T.StructField("_score", T.DoubleType()), T.StructField("_evidence", T.ArrayType(T.DoubleType()))]
-    done = docs.select(*hidden(docs)).mapInArrow(score, T.StructType(fields))
+    done = hide(docs).mapInArrow(score, T.StructType(fields))
     add = {
         "held_out": held_out(F.col(place(docs, "doc_id")), PARTS, REST),
         "score": F.col("_score"),
@@ -357,4 +357,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Dat
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns, from the columns that a score may depend on."""
-    return toxicity(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+    return toxicity(take(docs, "doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")

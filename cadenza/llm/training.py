@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.frames import take
+
 #: The most labelled rows that a model is fitted on: those with the least hash of their id.
 SAMPLE = 20_000
 
@@ -40,7 +42,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, re
     """
     own = labels.select("doc_id", F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), parts, rest))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    met = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select(F.xxhash64(F.lit(3), "doc_id", "text").alias("h"), "text", F.col("y").cast("int").alias("y"))
+    met = take(docs, "doc_id", "text").join(F.broadcast(own), "doc_id").select(F.xxhash64(F.lit(3), "doc_id", "text").alias("h"), "text", F.col("y").cast("int").alias("y"))
     return least_hashed(met, sample).select("text", "y")
 
 
