@@ -45,7 +45,7 @@ from cadenza.llm.words import window_hashes, words_of
 
 PARTS, REST, CUT = 3, 1, 0.5
 HIDDEN, STEPS, RATE, DECAY = 16, 1500, 0.02, 1e-4
-PRIOR_STEPS, LEAST_SHARE, CONFIDENCE, SPLITS = 600, 0.2, 1.64, 3
+PRIOR_STEPS, LEAST_SHARE, CONFIDENCE, SPLITS = 600, 0.5, 1.64, 5
 _TEXT_BYTES = 3_000_000
 _GRAIN, _MOST = 1e-4, 4.0
 _SLICE = 500
@@ -158,6 +158,10 @@ def _start(d: int, rng: np.random.Generator) -> np.ndarray:
 
 def class_prior(p: np.ndarray, u: np.ndarray, seed: int = 5) -> float:
     """The share of positives in ``u``, from descriptions of positives and unlabelled texts (centred and scaled)."""
+    return float(np.median([_prior_by_halves(p, u, seed + i) for i in range(SPLITS)]))
+
+
+def _prior_by_halves(p: np.ndarray, u: np.ndarray, seed: int) -> float:
     rng = np.random.default_rng(seed)
     p, u = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
     (p1, p2), (u1, u2) = np.array_split(p, 2), np.array_split(u, 2)
@@ -184,7 +188,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, middle: np.ndarray, spread
     """Estimate the prior and minimise the non-negative risk, by mini-batches."""
     model = Model(middle, np.maximum(spread, 1e-3), np.zeros(0))
     p, u = model.normal(positive), model.normal(unlabelled)
-    model.prior = float(np.median([class_prior(p, u, seed + i) for i in range(SPLITS)]))
+    model.prior = class_prior(p, u, seed)
     rng = np.random.default_rng(seed)
 
     def gradient(w: np.ndarray, _: int) -> np.ndarray:
@@ -205,7 +209,7 @@ def _described(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], names=["x"])
 
     got = rows.select("text").mapInArrow(run, "x array<double>").toArrow()
-    return got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1)
+    return got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, _KINDS.shape[1] + 9)
 
 
 def median_and_spread(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, _key string, `a.b` int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, _key string, `a.b` int, N_Words int, TEXT string, Score string"
 
 
 def words(text):
@@ -30,7 +30,7 @@ def messy_rows(seed: int = 3) -> list[tuple]:
         v[r.randrange(len(v))] = "changed"
         texts.append(" ".join(v))
     texts += [prose(20000), "same words again. " * 50, "un e spaced \x1c\x85 text\x0bhere\x0cand", "emoji 😀 and 한국어 <|endoftext|> text"]
-    rows = [(i if i != 5 else None, t, r.choice(["en", None]), r.choice(["s", None]), None if i % 7 == 0 else len(t or ""), "clash", None, i) for i, t in enumerate(texts)]
+    rows = [(i if i != 5 else None, t, r.choice(["en", None]), r.choice(["s", None]), None if i % 7 == 0 else len(t or ""), "clash", None, i, i, "other text", "x") for i, t in enumerate(texts)]
     return rows + [rows[30], rows[30], rows[1]]
 
 

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 from cadenza.llm import bpe, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup
+from cadenza.llm.frames import take
 from cadenza.llm.words import sliding_min, window_hashes, words_of
 from tokenizers import Tokenizer
 
@@ -38,7 +39,7 @@ def test_words_and_windows():
 
 def test_quality_rules(spark, messy, none):
     got = quality_rules.quality_rules(messy)
-    assert set(messy.columns) <= set(got.columns)
+    assert {c.lower() for c in messy.columns} <= {c.lower() for c in got.columns}
     expected = []
     for row in messy.collect():
         text, ws = row.text or "", words(row.text)
@@ -81,7 +82,7 @@ def test_bpe_matches_the_library(spark, messy, none):
         ids = library.encode(row.text or "", add_special_tokens=False).ids
         expected.append((row.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), sha(library.decode(ids, skip_special_tokens=False))))
     assert count(bpe.round_trip(messy, WORD).collect()) == count(expected)
-    both = bpe.decode(bpe.encode(messy, WORD), WORD).select("text", "decoded").collect()
+    both = take(bpe.decode(bpe.encode(messy, WORD), WORD), "text", "decoded").collect()
     assert all(r.decoded == library.decode(library.encode(r.text or "", add_special_tokens=False).ids, skip_special_tokens=False) for r in both)
     assert bpe.round_trip(none, WORD).count() == 0
 
@@ -150,6 +151,51 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
     assert count(got) == count(brute_classes(rows))
 
 
+def test_trie_levels_meet_each_pair_once():
+    rng = np.random.default_rng(1)
+    marks = rng.integers(0, 2, (40, 6)).astype(np.uint8)
+    marks[:, :2] = 1  # one subtree of depth 2
+    here = np.arange(40)
+    levels = list(ngram_join.by_level(marks, here, here, 2, np.triu(np.ones((40, 40), bool), 1)))
+    assert (sum(x.astype(int) for x in levels) == np.triu(np.ones((40, 40), int), 1)).all()
+    shared = [[next((k for k in range(6) if marks[i, k] != marks[j, k]), 6) for j in range(40)] for i in range(40)]
+    depth = 7
+    for met in levels:
+        found = {shared[i][j] for i, j in zip(*np.nonzero(met), strict=True)}
+        assert max(found) < depth
+        depth = min(found)
+    few = np.zeros((40, 40), bool)
+    few[0, 1] = True
+    assert len(list(ngram_join.by_level(marks, here, here, 2, few))) == 1  # nothing open is left after it
+
+
+def test_ngram_join_of_a_chain(spark):
+    """Neighbours are similar, ends are not: one class, and links count neighbours alone."""
+    length, step = 400, 18
+    stream = [f"w{i}" for i in range(length + 60 * step)]
+    rows = [(i, " ".join(stream[i * step : i * step + length])) for i in range(60)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wanted = brute_classes(rows)
+    assert {c for _, c, _ in wanted} == {0} and max(n for _, _, n in wanted) < 10
+    assert count(got) == count(wanted)
+
+
+def test_ngram_join_recall(spark):
+    """Pairs of a similarity just above the threshold, measured against brute force."""
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        ws = [f"x{v}" for v in r.integers(0, 10**6, 150)]
+        near = list(ws)
+        for at in (20, 60, 100)[: 1 + i % 3]:
+            near[at] = "changed"
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(near))]
+    got = {d: n for d, _, n in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = {d: n for d, _, n in brute_classes(rows)}
+    assert sum(wanted.values()) == 600  # all pairs are links: 3 changed words cost 15 of 146 windows on each side
+    assert sum(got.values()) >= 0.999 * sum(wanted.values()) and all(got[d] <= wanted[d] for d in got)
+
+
 def test_packing(spark, messy, none):
     placed = packing.pack(messy, BYTE).collect()
     library = Tokenizer.from_file(BYTE)
@@ -205,6 +251,52 @@ def test_sharding(spark, messy, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def walk(counts, shards, vnodes, cells):
+    """The ring key by key: a key goes to its own shard while that has room, the others go clockwise afterwards."""
+    at, owner = sharding.ring(shards, vnodes, cells)
+    nodes = sorted(zip(at.tolist(), owner.tolist(), strict=True))
+    total = sum(counts.values())
+    room = {s: total // shards + (s < total % shards) for s in range(shards)}
+    where, waiting = {}, []
+    for cell in sorted(counts):
+        first = next((i for i, (c, _) in enumerate(nodes) if c >= cell), 0)
+        for rank in range(counts[cell]):
+            s = nodes[first][1]
+            if room[s]:
+                room[s] -= 1
+                where[cell, rank] = s
+            else:
+                waiting.append((cell, rank, first))
+    for cell, rank, first in waiting:
+        turn = [nodes[(first + k) % len(nodes)][1] for k in range(1, len(nodes) + 1)]
+        s = next((s for s in turn if room[s]), None)
+        s = max(room, key=lambda x: (room[x], -x)) if s is None else s
+        room[s] -= 1
+        where[cell, rank] = s
+    return where
+
+
+def test_layout_equals_a_walk_of_the_ring():
+    rng = np.random.default_rng(5)
+    for shards, vnodes, cells, n in ((3, 2, 8, 50), (5, 4, 64, 700), (7, 3, 128, 10), (4, 8, 64, 1), (40, 4, 512, 3000)):
+        cell, count_ = np.unique(rng.integers(0, cells, n) ** 2 % cells, return_counts=True)
+        counts = dict(zip(cell.tolist(), count_.tolist(), strict=True))
+        counts[int(cell[0])] += n // 2  # a hot cell
+        got = {(c, i): s for c, low, high, s, _ in sharding.layout(counts, shards, vnodes, cells) for i in range(low, high)}
+        assert got == walk(counts, shards, vnodes, cells)
+
+
+def test_sharding_of_rows_without_an_id(spark):
+    """A third of the rows share the null id; slots stay gapless and counts even, and every row keeps to its cell's shards."""
+    rows = [(None if i % 3 == 0 else i, f"text {i % 50} of {i}") for i in range(900)] + [(None, "same"), (None, "same")]
+    got = sharding.digest(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_ring_moves_few_keys():
     counts = dict(zip(*(x.tolist() for x in np.unique(np.random.default_rng(0).integers(0, sharding.CELLS, 50_000), return_counts=True)), strict=True))
     where = lambda n: {(c, i): s for c, low, high, s, _ in sharding.layout(counts, n) for i in range(low, high)}
@@ -220,17 +312,29 @@ def test_substring_dedup(spark, messy, none):
     for doc_id, w in rows:
         gone = covered(w, lambda k: seen[k] > 1, 35)
         expected.append((doc_id, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
-    for start in (18, 5, 35):
+    for start in (9, 18, 5, 35):
         got = substring_dedup.substring_dedup(messy, start=start)
-        assert count(substring_dedup.digest(got.withColumn("n_words", got["n_words"].cast("long"))).collect()) == count(expected)
+        assert count(substring_dedup.digest(got).collect()) == count(expected)
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
 def test_substring_levels():
     assert substring_dedup.lengths(5, 35) == [5, 10, 20, 35]
+    assert substring_dedup.lengths(substring_dedup.START, substring_dedup.TARGET) == [9, 18, 35]
     assert substring_dedup.lengths(35, 35) == [35]
 
 
+def test_keep_bitmaps_name_the_lines_that_stay(spark):
+    line = "a line that is shared by many documents, " * 2
+    rows = [(i, "\n".join([f"own {i} {k}" for k in range(100)] + [line] * 30 + ["end"])) for i in range(6)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[5].keep_bits is None and got[5].n_dropped == 0
+    for i in range(5):
+        assert set(got[i].keep_bits) == {1, 2}  # lines 100 to 129; the first word keeps all
+        kept = [k for k in range(131) if k // 63 not in got[i].keep_bits or got[i].keep_bits[k // 63] >> (k % 63) & 1]
+        assert kept == [*range(100), 130]
+
+
 def test_line_dedup(spark, messy, none):
     upper = str.maketrans(line_dedup.UPPER, line_dedup.LOWER)
     key = lambda line: line.strip(line_dedup.SPACE).translate(upper)
