@@ -35,18 +35,18 @@ def min_max(score: Column) -> Column:
 
 
 def _source(rows: DataFrame, name: str) -> DataFrame:
-    # one small aggregation checks ids and scores
-    odd = F.bool_or(~S.finite(F.col("score")))
-    bad = rows.groupBy("track_id").agg(F.count("*").alias("n"), odd.alias("odd")).filter((F.col("n") > 1) | F.col("odd") | F.col("track_id").isNull() | (F.trim("track_id") == "")).limit(1).collect()
-    if bad:
-        raise ValueError(f"{name} results need unique ids and finite scores: {bad[0]['track_id']!r}")
+    """One side of the join; ids and scores are checked in the plan, so the source runs once."""
+    twice = F.count("*").over(Window.partitionBy("track_id")) > 1
+    bad = twice | ~S.finite(F.col("score")) | F.col("track_id").isNull() | (F.trim("track_id") == "")
+    wrong = F.raise_error(F.concat(F.lit(f"{name} results need unique ids and finite scores: "), F.coalesce("track_id", F.lit("null"))))
+    rows = rows.withColumn("score", F.when(bad, wrong.cast("double")).otherwise(F.col("score")))
     meta = [F.col(c).alias(f"{name}_{c}") for c in ("title", "artist", "album")]
     fields = [F.col("matched_fields")] if "matched_fields" in rows.columns else []
     return rows.select("track_id", F.col("score").alias(f"{name}_score"), min_max(F.col("score")).alias(f"{name}_normalized_score"), *fields, *meta)
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, *, weights: HybridWeights | None = None, limit: int = 10) -> DataFrame:
-    """Both result lists (each of a bounded length) joined by id; a missing side counts 0, names come from the lexical side first."""
+    """Both result lists (each of a bounded length) joined by id; a missing side counts 0, names come from the lexical side first.  Repeated ids and odd scores raise when the plan runs."""
     checks.positive(limit, "limit")
     wl, ws = (weights or HybridWeights()).normalized()
     met = _source(lexical, "lexical").join(_source(semantic, "semantic"), "track_id", "full_outer")

@@ -55,14 +55,23 @@ def personal(events: DataFrame, *, context: str, now: datetime, half_life: float
 
 
 def taste_profile(events: DataFrame, *, now: datetime, half_life: float = HALF_LIFE) -> DataFrame:
-    """One row: for each counter the track ids with a share in it, largest first (ties: first met), and the contexts.
+    """Rows ``channel, value, strength, first_event``: for each counter the tracks with a share in it, and the contexts (channel ``context``).
 
-    ``id`` gives the order of events.  The lists are the result and hold a track once.
+    A channel's order is by falling ``strength`` (rounded), then by ``first_event`` (the
+    least ``id`` that counts), then by ``value``; no channel is gathered in one row or task.
     """
-    sums = events.groupBy("track_id").agg(*(_channel(c, now, half_life).alias(c) for c in CHANNELS), *(F.min(F.when(F.col("event_type").isin([k for k, (x, _) in WEIGHTS.items() if x == c]), F.col("id"))).alias(f"{c}_at") for c in CHANNELS))
-    lists = []
-    for c in CHANNELS:
-        entry = F.when(F.col(f"{c}_at").isNotNull(), F.struct((-F.round(c, 9)).alias("a"), F.col(f"{c}_at").alias("b"), F.col("track_id").alias("t")))
-        lists.append(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]).alias(f"{c}_track_ids"))
-    contexts = events.filter("context != ''").agg(F.array_sort(F.collect_set("context")).alias("contexts"))
-    return sums.agg(*lists).crossJoin(F.broadcast(contexts))  # one row with one row
+    kinds = {c: [k for k, (x, _) in WEIGHTS.items() if x == c] for c in CHANNELS}
+    firsts = [F.min(F.when(F.col("event_type").isin(kinds[c]), F.col("id"))).alias(f"{c}_at") for c in CHANNELS]
+    sums = events.groupBy("track_id").agg(*(_channel(c, now, half_life).alias(c) for c in CHANNELS), *firsts)
+    parts = F.array(*(F.struct(F.lit(c).alias("channel"), F.round(c, 9).alias("strength"), F.col(f"{c}_at").alias("first_event")) for c in CHANNELS))
+    tracks = sums.select(F.col("track_id").alias("value"), F.explode(parts).alias("p")).filter("p.first_event IS NOT NULL")
+    contexts = events.filter("context != ''").groupBy(F.col("context").alias("value")).agg(F.min("id").alias("first_event"))
+    return tracks.select("p.channel", "value", "p.strength", "p.first_event").unionByName(contexts.select(F.lit("context").alias("channel"), "value", F.lit(None).cast("double").alias("strength"), "first_event"))
+
+
+def taste_lists(profile: DataFrame) -> dict[str, list[str]]:
+    """The ordered lists of a profile of one listener: ids for each counter, contexts by name."""
+    rows = profile.collect()
+    by_strength = lambda r: (-r["strength"], r["first_event"], r["value"])
+    lists = {c: [r["value"] for r in sorted((r for r in rows if r["channel"] == c), key=by_strength)] for c in CHANNELS}
+    return lists | {"context": sorted(r["value"] for r in rows if r["channel"] == "context")}

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,17 +98,39 @@ def vector_of(values) -> list[float]:
     return out
 
 
+def _products(query: list[float], scale: Callable[[np.ndarray], np.ndarray]):
+    """A column function: inner products with a query, times what ``scale`` says of the vectors."""
+    asked = np.array(query, np.float64)
+
+    @F.arrow_udf("double")
+    def run(vectors: pa.Array) -> pa.Array:
+        out = np.zeros(len(vectors))
+        known = vectors.drop_null() if vectors.null_count else vectors
+        if len(known):
+            flat = known.flatten()
+            if (np.diff(known.offsets.to_numpy()) != len(asked)).any() or flat.null_count:
+                raise ValueError("vectors differ in width")
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(asked))
+            out[np.asarray(vectors.is_valid())] = scale(x) * (x @ asked)
+        return pa.array(out, mask=np.asarray(vectors.is_null()))
+
+    return run
+
+
 def dot(vector: Column, query: list[float]) -> Column:
-    """Inner product in double precision, component by component."""
-    return F.aggregate(F.zip_with(vector, F.array(*map(F.lit, query)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    """Inner product in double precision, a batch at a time."""
+    return _products(query, lambda x: np.ones(len(x)))(vector)
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
     """Cosine with a query; 0 for a zero vector, an error for another width."""
     size = math.sqrt(sum(q * q for q in query))
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    fit = F.when(F.size(vector) == len(query), F.lit(True)).otherwise(F.raise_error(F.lit("vectors differ in width")).cast("boolean"))
-    return F.when(fit & (norm > 0) & F.lit(size > 0), dot(vector, query) / (norm * F.lit(size or 1.0))).otherwise(F.lit(0.0))
+
+    def scale(x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x * x).sum(1)) * size
+        return np.divide(1.0, norm, out=np.zeros_like(norm), where=norm > 0)
+
+    return _products(query, scale)(vector)
 
 
 def embed(texts: DataFrame, provider: TextEmbeddingProvider, batch: int = 256) -> DataFrame:
@@ -141,15 +164,19 @@ def with_names(found: DataFrame, tracks: DataFrame) -> DataFrame:
     return names.join(F.broadcast(found), "track_id").select(*found.columns, "title", "artist", "album").orderBy(F.round("score", 9).desc(), "track_id")
 
 
-def fingerprint(texts: DataFrame) -> str:
-    """A hash of all ids and texts that doesn't depend on their order.
+def fingerprint_parts(texts: DataFrame) -> DataFrame:
+    """A hash of all ids and texts that doesn't depend on their order, as one row: their number and four sums.
 
     Row hashes are added in parts, so no task or driver ever holds the catalog.
     """
     row = F.sha2(F.concat_ws("\0", "track_id", "text"), 256)
     parts = [F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
-    got = texts.agg(F.count("*").alias("n"), *parts).head()
-    return "-".join(format(int(v or 0), "x") for v in got)
+    return texts.agg(F.count("*").alias("n"), *parts)
+
+
+def fingerprint(texts: DataFrame) -> str:
+    """The row of :func:`fingerprint_parts` as one text."""
+    return "-".join(format(int(v or 0), "x") for v in fingerprint_parts(texts).head())
 
 
 def _fs(spark: SparkSession, path: str):
@@ -164,16 +191,42 @@ def read_text(spark: SparkSession, path: str) -> str:
     return rows[0][0]
 
 
-def publish(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file under another name, then move it into place."""
+_DIGITS = 12
+
+
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """The published versions of a small file, oldest first."""
     fs, p = _fs(spark, path)
-    _, t = _fs(spark, f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(t, True)
+    if not fs.exists(p.getParent()):
+        return []
+    head = f"{p.getName()}.v"
+    names = [f.getPath().getName() for f in fs.listStatus(p.getParent())]
+    return sorted(n for n in names if n.startswith(head) and len(n) == len(head) + _DIGITS and n[len(head) :].isdecimal())
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """The text of the newest version, or None where there is none."""
+    found = _pointers(spark, path)
+    return read_text(spark, f"{path.rsplit('/', 1)[0]}/{found[-1]}") if found else None
+
+
+def publish(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file as a new numbered version; readers take the highest.
+
+    The file is moved to its name when it is whole, and older versions go afterwards (the last
+    but one stays for readers under way), so there is never a moment without one.
+    """
+    found = _pointers(spark, path)
+    number = int(found[-1][-_DIGITS:]) + 1 if found else 1
+    fs, target = _fs(spark, f"{path}.v{number:0{_DIGITS}d}")
+    _, part = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(t, p)
+    if not fs.rename(part, target):
+        raise RuntimeError(f"could not publish {path}")
+    for name in found[:-1]:
+        fs.delete(_fs(spark, f"{path.rsplit('/', 1)[0]}/{name}")[1], False)
 
 
 class VectorIndex:
@@ -203,11 +256,11 @@ class VectorIndex:
 
     def manifest(self) -> dict | None:
         """Null where there is no index; an error where it is broken."""
-        fs, p = _fs(self.spark, f"{self.path}/manifest.json")
-        if not fs.exists(p):
+        text = published(self.spark, f"{self.path}/manifest.json")
+        if text is None:
             return None
         try:
-            got = json.loads(read_text(self.spark, f"{self.path}/manifest.json"))
+            got = json.loads(text)
         except ValueError as error:
             raise StaleIndexError("the index has an unreadable manifest") from error
         whole = lambda k: isinstance(got.get(k), int) and not isinstance(got[k], bool) and got[k] >= 0
@@ -225,8 +278,8 @@ class VectorIndex:
             raise ValueError("the index doesn't hold what its manifest says")
         return rows
 
-    def search(self, query: list[float], *, limit: int = 10, verify: bool = False) -> DataFrame:
-        """``track_id, score``; nothing for a query that is zero, not finite or of another width."""
+    def search(self, query: list[float], *, limit: int = 10, verify: bool = True) -> DataFrame:
+        """``track_id, score``; nothing for a query that is zero, not finite or of another width.  Damaged data is an error unless ``verify`` is off."""
         checks.positive(limit, "limit")
         facts = self.manifest()
         rows = self.load(verify=verify)
@@ -237,13 +290,21 @@ class VectorIndex:
         scored = rows.select("track_id", dot(F.col("vector"), [float(q) / size for q in query]).alias("score"))
         return scored.orderBy(F.round("score", 9).desc(), "track_id").limit(limit)
 
+    def scores(self, track_id: str) -> DataFrame:
+        """``track_id, score`` of all stored tracks against one of them."""
+        rows = self.load()
+        seed = rows.filter(F.col("track_id") == track_id).limit(1).collect()
+        if not seed:
+            raise KeyError(track_id)
+        return rows.select("track_id", dot(F.col("vector"), list(seed[0]["vector"])).alias("score"))
+
     def similar(self, track_id: str, *, limit: int = 10) -> DataFrame:
         """The nearest to a stored track, without it."""
         checks.positive(limit, "limit")
-        seed = self.load(verify=False).filter(F.col("track_id") == track_id).limit(1).collect()
+        seed = self.load().filter(F.col("track_id") == track_id).limit(1).collect()
         if not seed:
             raise KeyError(track_id)
-        return self.search(list(seed[0]["vector"]), limit=limit + 1).filter(F.col("track_id") != track_id).orderBy(F.round("score", 9).desc(), "track_id").limit(limit)
+        return self.search(list(seed[0]["vector"]), limit=limit + 1, verify=False).filter(F.col("track_id") != track_id).orderBy(F.round("score", 9).desc(), "track_id").limit(limit)
 
 
 class SemanticTextIndex:

@@ -121,6 +121,11 @@ def retrieve(tracks: DataFrame, query: str, mode: str, *, request_limit: int, re
 
 
 def recommend(tracks: DataFrame, events: DataFrame, request: Request, *, context: str, now: datetime, event_limit: int = 1000, mode: str = "catalog", similar: DataFrame | None = None, learned_seed: str | None = None, **retrieval) -> FlowResult:
-    """The flagship: retrieval, the newest events, intent, personal signals, ranking, order."""
+    """The flagship: retrieval, the newest events, intent, personal signals, ranking, order.
+
+    With similarities but no learned seed the request's own seed is the one they belong to.
+    """
+    if similar is not None and learned_seed is None:
+        learned_seed = request.sequence_seed
     found = retrieve(tracks, request.text, mode, request_limit=request.limit, **retrieval)
     return context_aware(found, request, events=recent(events, limit=event_limit), context=context, now=now, similar=similar, learned_seed=learned_seed)

@@ -11,8 +11,7 @@ TRACKS = (
 )
 SCAN_STATE = "source_uri string, last_seen_at timestamp, file_size bigint, modified_at_ns bigint, content_hash string"
 EVENTS = "id bigint, track_id string, event_type string, occurred_at timestamp, context string, seconds_played double"
-PLAYLISTS = "name string, name_key string, created_at timestamp, updated_at timestamp"
-ITEMS = "name_key string, position int, track_id string, sequence_score double, base_score double"
+PLAYLISTS = "name string, name_key string, created_at timestamp, updated_at timestamp, items array<struct<position: int, track_id: string, sequence_score: double, base_score: double>>"
 EVENT_TYPES = ("play", "complete", "skip", "like", "dislike", "replay")
 SIGNALS = ("metadata_score", "dsp_score", "learned_score", "preference_score", "novelty_score", "diversity_score")
 FACETS = ("genres", "moods", "languages", "regions", "instrumentation", "music_types", "scenes")

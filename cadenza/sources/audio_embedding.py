@@ -46,7 +46,11 @@ def local_path(uri: str | None) -> str | None:
     return f"//{parts.netloc}{path}" if parts.netloc and parts.netloc != "localhost" else path
 
 
-def fetch_model(destination: str, *, url: str) -> str:
+# Fixed value: where the network is published.
+MODEL_URL = "https://essentia.upf.edu/models/feature-extractors/discogs-effnet/discogs-effnet-bsdynamic-1.onnx"
+
+
+def fetch_model(destination: str, *, url: str = MODEL_URL) -> str:
     """Download a model file unless it is there."""
     path = Path(destination)
     if not path.exists():
@@ -57,6 +61,11 @@ def fetch_model(destination: str, *, url: str) -> str:
     return str(path)
 
 
+def log_bands(power: np.ndarray) -> np.ndarray:
+    """Natural logarithms of a (mels, frames) power spectrogram, as (frames, mels); silence counts as 1e-10."""
+    return np.log(np.maximum(power, 1e-10)).T.astype(np.float32)
+
+
 def patches(mel: np.ndarray, frames: int, stride: int) -> np.ndarray:
     """Overlapping patches of a (frames, mels) matrix; a short one is padded with zeros."""
     if len(mel) < frames:
@@ -86,9 +95,20 @@ class Network:
         except ImportError as error:
             raise RuntimeError("install librosa to decode audio") from error
         y, _ = librosa.load(path, sr=c.rate, mono=True, duration=c.seconds)
+        if not len(y):
+            return [0.0] * c.width
         power = librosa.feature.melspectrogram(y=y, sr=c.rate, n_fft=c.fft, hop_length=c.hop, n_mels=c.mels)
-        out = self._session.run(None, {self._session.get_inputs()[0].name: patches(np.log10(1 + 10000 * power).T, c.frames, c.stride)})[1]
-        mean = np.asarray(out, np.float64).mean(axis=0)
+        return self.pooled(patches(log_bands(power), c.frames, c.stride))
+
+    def pooled(self, batch: np.ndarray) -> list[float]:
+        """The mean vector of patches, of unit length; zeros where that has no length."""
+        found = self._session.run(None, {self._session.get_inputs()[0].name: batch})
+        if len(found) < 2:
+            raise RuntimeError("the network gives no embeddings beside its predictions")
+        out = np.asarray(found[1], np.float64)
+        if out.ndim != 2 or out.shape[1] != self.config.width:
+            raise RuntimeError(f"embeddings of another shape: {out.shape}")
+        mean = out.mean(axis=0)
         norm = float(np.linalg.norm(mean))
         return (mean / norm if np.isfinite(norm) and norm > 0 else np.zeros_like(mean)).tolist()
 

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from pathlib import Path
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.sources.audio_embedding import local_path
 from cadenza.sources.store import Store
 
 # File extensions of audio.
 EXTENSIONS = (".mp3", ".flac", ".wav", ".m4a", ".ogg", ".opus", ".aac")
 METADATA = "title string, artist string, album string, album_artist string, composer string, genre string, year int, duration_seconds double, bitrate int, sample_rate int, channels int"
 ANALYSIS = "tempo_bpm double, rms_energy double, spectral_centroid double, spectral_bandwidth double, spectral_rolloff double, zero_crossing_rate double, mfcc_json string, chroma_json string, analysis_seconds double, analysis_mode string"
+# How a track of a folder and its analysis are marked.
+SOURCE, MODE = "local_file", "bounded"
 FEATURES = ("tempo_bpm", "rms_energy", "spectral_centroid", "spectral_bandwidth", "spectral_rolloff", "zero_crossing_rate", "mfcc_json", "chroma_json")
 
 
+_OPENED = 16  # rows put together at a time
+
+
 @dataclass(frozen=True)
 class AnalysisConfig:
     max_analysis_seconds: float = 180.0
@@ -35,23 +44,31 @@ class AnalysisConfig:
 
 
 def file_uri(path: Column) -> Column:
-    """Spark's path of a local file as a ``file://`` URI."""
-    return F.regexp_replace(path, r"^file:/+", "file:///")
+    """Spark's path of a local file as a ``file://`` URI, with all but letters, digits and ``/_.-~`` in percent form."""
+    coded = F.url_encode(F.regexp_replace(path, r"^file:/+", "/"))
+    for written, wanted in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        coded = F.replace(coded, F.lit(written), F.lit(wanted))
+    return F.concat(F.lit("file://"), coded)
 
 
 def stable_track_id(uri: Column) -> Column:
     return F.sha2(uri.cast("binary"), 256)
 
 
-def audio_files(spark: SparkSession, root: str, *, content: bool = False) -> DataFrame:
+def is_audio(path: Column) -> Column:
+    """Whether a path ends like an audio file, in any case of letters."""
+    return F.lower(F.regexp_extract(path, r"\.[^./]+$", 0)).isin(*EXTENSIONS)
+
+
+def audio_files(spark: SparkSession, root: str) -> DataFrame:
     """``source_uri, path, file_name, file_size, modified_at_ns`` (microseconds at best) of audio files below a folder.
 
-    Only names and sizes are read unless ``content`` is asked for.
+    Only names and sizes are read, never contents.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    kept = found.filter(F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).isin(*EXTENSIONS))
-    own = [file_uri(F.col("path")).alias("source_uri"), F.col("path"), F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B")).alias("file_name"), F.col("length").alias("file_size"), (F.unix_micros("modificationTime") * 1000).alias("modified_at_ns")]
-    return kept.select(*own, *([F.col("content")] if content else []))
+    kept = found.filter(is_audio(F.col("path")))
+    own = [file_uri(F.col("path")).alias("source_uri"), F.col("path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), (F.unix_micros("modificationTime") * 1000).alias("modified_at_ns")]
+    return kept.select(*own)
 
 
 def tag_reader(content: bytes, name: str) -> dict:
@@ -88,7 +105,7 @@ def audio_analyzer(config: AnalysisConfig) -> Callable[[bytes, str], dict]:
             raise RuntimeError("install librosa to analyse audio") from error
         y, rate = librosa.load(io.BytesIO(content), sr=None, mono=True, offset=config.analysis_offset_seconds, duration=config.max_analysis_seconds)
         if not len(y):
-            return {}
+            return {"sample_rate": int(rate), "channels": 1, "mfcc_json": "[]", "chroma_json": "[]", "analysis_seconds": 0.0, "analysis_mode": MODE}
         f = librosa.feature
         mean = lambda a: float(a.mean())
         tempo = librosa.beat.beat_track(y=y, sr=rate)[0]
@@ -96,39 +113,54 @@ def audio_analyzer(config: AnalysisConfig) -> Callable[[bytes, str], dict]:
             "sample_rate": int(rate), "channels": 1, "tempo_bpm": float(getattr(tempo, "item", lambda: tempo)()), "rms_energy": mean(f.rms(y=y)), "spectral_centroid": mean(f.spectral_centroid(y=y, sr=rate)),
             "spectral_bandwidth": mean(f.spectral_bandwidth(y=y, sr=rate)), "spectral_rolloff": mean(f.spectral_rolloff(y=y, sr=rate)), "zero_crossing_rate": mean(f.zero_crossing_rate(y)),
             "mfcc_json": json.dumps(f.mfcc(y=y, sr=rate, n_mfcc=13).mean(1).tolist()), "chroma_json": json.dumps(f.chroma_stft(y=y, sr=rate).mean(1).tolist()),
-            "analysis_seconds": len(y) / rate, "analysis_mode": "windowed",
+            "analysis_seconds": len(y) / rate, "analysis_mode": MODE,
         }
 
     return analyze
 
 
-def read_audio(files: DataFrame, metadata: Callable[[bytes, str], dict], analyze: Callable[[bytes, str], dict] | None) -> DataFrame:
-    """Metadata and features of files with content; failures become ``issues``, never errors."""
+def read_audio(files: DataFrame, metadata: Callable[[bytes, str], dict], analyze: Callable[[bytes, str], dict] | None, *, hashes: bool = True) -> DataFrame:
+    """Hash, metadata and features of files, each opened once where the task runs; failures become ``issues``, never errors.
+
+    With ``hashes`` off a known hash (``_hash``) stays as it is.
+    """
     meta = [c.split()[0] for c in METADATA.split(", ")]
     feat = [c.split()[0] for c in ANALYSIS.split(", ")]
 
+    def one(uri: str, name: str, known: str | None) -> dict:
+        row, issues = dict.fromkeys(("new_hash", *meta, *feat)), []
+
+        def attempt(stage: str, work: Callable[[], dict]) -> bool:
+            try:
+                row.update(work())
+                return True
+            except Exception as error:  # a broken file must not stop the scan
+                issues.append((stage, uri, type(error).__name__, str(error)))
+                return False
+
+        held: list[bytes] = []
+        if attempt("read", lambda: held.append(Path(local_path(uri)).read_bytes()) or {}):
+            content = held[0]
+            row["new_hash"] = hashlib.sha256(content).hexdigest() if hashes or not known else known
+            attempt("metadata", lambda: metadata(content, name))
+            if analyze is not None and not attempt("analysis", lambda: {"analysis_mode": MODE} | analyze(content, name)):
+                row["analysis_mode"] = "failed"
+        else:
+            row |= {"new_hash": known, "analysis_mode": "failed" if analyze is not None else None}
+        return {"source_uri": uri, **row, "issues": issues}
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for uri, name, content in zip(part["source_uri"], part["file_name"], part["content"], strict=True):
-                row, issues = dict.fromkeys((*meta, *feat)), []
-                try:
-                    row |= metadata(bytes(content), name)
-                except Exception as error:  # a broken file must not stop the scan
-                    issues.append(("metadata", uri, type(error).__name__, str(error)))
-                if analyze is not None:
-                    try:
-                        row |= {"analysis_mode": "windowed"} | analyze(bytes(content), name)
-                    except Exception as error:
-                        row |= {"analysis_mode": "failed"}
-                        issues.append(("analysis", uri, type(error).__name__, str(error)))
-                rows.append({"source_uri": uri, **row, "issues": issues})
-            out = pd.DataFrame(rows, columns=["source_uri", *meta, *feat, "issues"])
-            for c in ("year", "bitrate", "sample_rate", "channels"):
-                out[c] = out[c].astype("Int32")
-            yield out
-
-    return files.select("source_uri", "file_name", "content").mapInPandas(run, f"source_uri string, {METADATA}, {ANALYSIS}, issues array<struct<stage string, source string, error_type string, message string>>")
+            for a in range(0, len(part), _OPENED):
+                own = part.iloc[a : a + _OPENED]
+                rows = [one(*r) for r in zip(own["source_uri"], own["file_name"], own["_hash"], strict=True)]
+                out = pd.DataFrame(rows, columns=["source_uri", "new_hash", *meta, *feat, "issues"])
+                for c in ("year", "bitrate", "sample_rate", "channels"):
+                    out[c] = out[c].astype("Int32")
+                yield out
+
+    kept = F.when(F.col("_hash") != "", F.col("_hash")).alias("_hash")
+    return files.select("source_uri", "file_name", kept).mapInPandas(run, f"source_uri string, new_hash string, {METADATA}, {ANALYSIS}, issues array<struct<stage string, source string, error_type string, message string>>")
 
 
 def changed_files(files: DataFrame, state: DataFrame, tracks: DataFrame, config: AnalysisConfig | None) -> DataFrame:
@@ -148,7 +180,7 @@ def scan(
 ) -> tuple[int, DataFrame]:
     """Bring the store up to date with a folder; the number of changed files, and the issues met.
 
-    Only changed files are opened.  Files that are gone from this folder (with
+    Only changed files are opened, once each, by the task that reads them.  Files that are gone from this folder (with
     ``sweep_all``: from any) are marked missing.  A failed analysis keeps the old
     features and is tried again next time.
     """
@@ -157,18 +189,17 @@ def scan(
     tracks, state = store.table("tracks"), store.table("scan_state")
     files = changed_files(audio_files(spark, root), state, tracks, config if analyze else None).cache()
     todo = files.filter("changed")
-    content = audio_files(spark, root, content=True).select("source_uri", "content")
-    opened = content.join(todo.select("source_uri", "file_name", "_hash"), "source_uri")
-    hashes = opened.select("source_uri", (F.sha2("content", 256) if compute_content_hash else F.when(F.col("_hash") != "", F.col("_hash")).otherwise(F.sha2("content", 256))).alias("new_hash"))
-    read = read_audio(opened, metadata, (analyzer or audio_analyzer(config)) if analyze else None).cache()
+    # as a table of its own nothing of it is computed, and no file opened, twice
+    read = store.log("readings", read_audio(todo.repartition(max(1, min(todo.count(), spark.sparkContext.defaultParallelism * 4))), metadata, (analyzer or audio_analyzer(config)) if analyze else None, hashes=compute_content_hash))
+    hashes = read.select("source_uri", "new_hash")
     n = todo.count()
     meta = [c.split()[0] for c in METADATA.split(", ")]
     old = tracks.withColumn("_old", F.lit(True))
-    fresh = todo.select("source_uri", "file_name", "file_size", "modified_at_ns").join(hashes, "source_uri").join(read.drop("issues"), "source_uri").join(old.select("source_uri", "created_at", *(F.col(f).alias(f"_{f}") for f in FEATURES), F.col("analysis_version").alias("_v"), F.col("analysis_mode").alias("_m"), F.col("analysis_seconds").alias("_s")), "source_uri", "left")
+    fresh = todo.select("source_uri", "file_name", "file_size", "modified_at_ns").join(read.drop("issues"), "source_uri").join(old.select("source_uri", "created_at", *(F.col(f).alias(f"_{f}") for f in FEATURES), F.col("analysis_version").alias("_v"), F.col("analysis_mode").alias("_m"), F.col("analysis_seconds").alias("_s")), "source_uri", "left")
     failed = F.col("analysis_mode") == "failed"
     done = F.lit(analyze)
     fresh = fresh.select(
-        stable_track_id(F.col("source_uri")).alias("track_id"), F.col("new_hash").alias("content_hash"), F.lit("local").alias("source_type"), "source_uri", "file_name", "file_size", "modified_at_ns",
+        stable_track_id(F.col("source_uri")).alias("track_id"), F.col("new_hash").alias("content_hash"), F.lit(SOURCE).alias("source_type"), "source_uri", "file_name", "file_size", "modified_at_ns",
         F.lit("active").alias("status"), F.coalesce("created_at", F.lit(at)).alias("created_at"), F.lit(at).alias("updated_at"), *meta,
         *(F.when(done & ~F.coalesce(failed, F.lit(False)), F.col(f)).otherwise(F.col(f"_{f}")).alias(f) for f in FEATURES),
         F.when(done, F.col("analysis_mode")).otherwise(F.col("_m")).alias("analysis_mode"),
@@ -187,10 +218,9 @@ def scan(
     store.replace("tracks", rest.drop("_changed").unionByName(fresh))
     store.replace("scan_state", kept.unionByName(states))
     files.unpersist()
-    read.unpersist()
     return n, issues
 
 
 def audio_prefix(root: str) -> str:
-    plain = root if root.startswith("file:") else "file:" + root
-    return "file:///" + plain.removeprefix("file:").lstrip("/").rstrip("/") + "/"
+    plain = "/" + root.removeprefix("file:").strip("/")
+    return f"file://{quote(plain)}/"

@@ -140,3 +140,47 @@ def m3u8_rows(documents: DataFrame) -> DataFrame:
     label = F.regexp_extract("_before", r"^#EXTINF:[^,]*,(.*)$", 1)
     rows = kept.withColumn("fault", fault).filter(~is_info | F.col("fault").isNotNull())
     return rows.select("path", "n", seconds.alias("seconds"), label.alias("label"), F.col("line").alias("uri"), "fault")
+
+
+def import_rows(documents: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Many M3U8 documents (``path, value``) as item rows ``path, position, track_id, fault``: URIs are joined with the active tracks.
+
+    A row whose URI no active track has gets a fault, like a row that breaks the format.
+    """
+    rows = m3u8_rows(documents)
+    known = tracks.filter("status = 'active'").select(F.col("source_uri").alias("uri"), "track_id")
+    met = rows.join(known, "uri", "left")
+    fault = F.coalesce(F.col("fault"), F.when(F.col("track_id").isNull(), "not an active track"))
+    at = F.row_number().over(Window.partitionBy("path").orderBy("n")) - 1
+    return met.select("path", at.alias("position"), "track_id", fault.alias("fault"))
+
+
+def json_documents(playlists: DataFrame) -> DataFrame:
+    """``name_key, value``: a version 1 JSON document for each row of stored playlists."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    item = lambda x, n: F.struct((n + 1).alias("position"), x["track_id"].alias("track_id"), x["sequence_score"].alias("sequence_score"), x["base_score"].alias("base_score"))
+    body = F.struct(F.lit(1).alias("version"), "name", stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at"), F.transform("items", item).alias("items"))
+    return playlists.select("name_key", F.to_json(body).alias("value"))
+
+
+def json_rows(documents: DataFrame) -> DataFrame:
+    """Many JSON documents (``path, value``) as ``path, name, items, fault``, read in the plan.
+
+    A fault says which rule of the format a document breaks; its items are null then.
+    """
+    scores = "sequence_score: double, base_score: double"
+    shape = f"version int, name string, created_at string, updated_at string, items array<struct<position: int, track_id: string, {scores}>>"
+    zoned = lambda c: F.coalesce(F.col(c).rlike(r"^\d{4}-\d\d-\d\d[T ].*([+-]\d\d:?\d\d|Z)$") & F.expr(f"try_to_timestamp({c})").isNotNull(), F.lit(False))
+    rows = documents.select("path", F.from_json("value", shape).alias("d")).select("path", "d.*")
+    ids = F.transform("items", lambda x: x["track_id"])
+    bad_item = F.exists("items", lambda x: x["track_id"].isNull() | (F.trim(x["track_id"]) == "") | ~F.coalesce(F.abs(x["sequence_score"]) < float("inf"), F.lit(False)) | ~F.coalesce(F.abs(x["base_score"]) < float("inf"), F.lit(False)))
+    in_order = F.forall(F.transform("items", lambda x, n: F.coalesce(x["position"] == n + 1, F.lit(False))), lambda ok: ok)
+    rules = (
+        (~F.coalesce(F.col("version") == 1, F.lit(False)), "not a playlist of version 1"), (F.col("name").isNull() | (F.trim("name") == ""), "no name"),
+        (~zoned("created_at") | ~zoned("updated_at"), "a time without a zone"), (F.col("items").isNull(), "no items"), (~in_order, "positions that don't follow each other"),
+        (bad_item, "a broken item"), (F.size(F.array_distinct(ids)) != F.size(ids), "a track twice"),
+    )
+    fault = F.lit(None).cast("string")
+    for broken, says in reversed(rules):
+        fault = F.when(broken, says).otherwise(fault)
+    return rows.withColumn("fault", fault).select("path", "name", F.when(F.col("fault").isNull(), F.col("items")).alias("items"), "fault")

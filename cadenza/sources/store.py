@@ -1,4 +1,7 @@
-"""The catalog's tables in one folder: versioned Parquet snapshots behind a pointer, one writer at a time."""
+"""The catalog's tables in one folder: versioned Parquet snapshots behind a pointer, one writer at a time.
+
+A playlist and its items are one row, so one pointer publishes both.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +14,9 @@ from pyspark.sql import functions as F
 from cadenza import schemas
 from cadenza.functions import checks
 from cadenza.operators import events as E
-from cadenza.operators.vectors import _fs, publish, read_text
+from cadenza.operators.vectors import publish, published
 
-TABLES = {"tracks": schemas.TRACKS, "scan_state": schemas.SCAN_STATE, "listening_events": schemas.EVENTS, "playlists": schemas.PLAYLISTS, "playlist_items": schemas.ITEMS}
+TABLES = {"tracks": schemas.TRACKS, "scan_state": schemas.SCAN_STATE, "listening_events": schemas.EVENTS, "playlists": schemas.PLAYLISTS}
 
 
 def name_key(name: str) -> str:
@@ -27,10 +30,9 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        fs, p = _fs(self.spark, f"{self.path}/{name}/current")
-        if not fs.exists(p):
+        version = published(self.spark, f"{self.path}/{name}/current")
+        if version is None:
             return self.spark.createDataFrame([], TABLES[name])
-        version = read_text(self.spark, f"{self.path}/{name}/current").strip()
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{version}")
 
     def replace(self, name: str, rows: DataFrame) -> DataFrame:
@@ -43,11 +45,10 @@ class Store:
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add files to the current snapshot, or start one."""
-        fs, p = _fs(self.spark, f"{self.path}/{name}/current")
-        if not fs.exists(p):
+        version = published(self.spark, f"{self.path}/{name}/current")
+        if version is None:
             self.replace(name, rows)
             return
-        version = read_text(self.spark, f"{self.path}/{name}/current").strip()
         target = self.spark.createDataFrame([], TABLES[name]).schema
         rows.select(*(F.col(f.name).cast(f.dataType) for f in target)).write.mode("append").parquet(f"{self.path}/{name}/{version}")
 
@@ -76,33 +77,31 @@ class Store:
         key, at = name_key(name), _utc(now)
         checks.unique_ids([i[0] for i in items])
         old = self.table("playlists").filter(F.col("name_key") == key).limit(1).collect()
-        head = self.spark.createDataFrame([(" ".join(name.split()), key, old[0]["created_at"].replace(tzinfo=UTC) if old else at, at)], schemas.PLAYLISTS)
-        rows = self.spark.createDataFrame([(key, n, *i) for n, i in enumerate(items)], schemas.ITEMS)
-        for table, new in (("playlist_items", rows), ("playlists", head)):
-            kept = self.table(table).filter(F.col("name_key") != key)
-            self.replace(table, kept.unionByName(new))
+        own = [(n, *i) for n, i in enumerate(items)]
+        row = self.spark.createDataFrame([(" ".join(name.split()), key, old[0]["created_at"].replace(tzinfo=UTC) if old else at, at, own)], schemas.PLAYLISTS)
+        self.replace("playlists", self.table("playlists").filter(F.col("name_key") != key).unionByName(row))
 
     def get(self, name: str) -> tuple[dict, list[dict]] | None:
         key = name_key(name)
         head = self.table("playlists").filter(F.col("name_key") == key).limit(1).collect()
         if not head:
             return None
-        return head[0].asDict(), [r.asDict() for r in self.items(name).collect()]
+        row = head[0].asDict(recursive=True)
+        return row, sorted(row.pop("items"), key=lambda i: i["position"])
 
     def items(self, name: str) -> DataFrame:
-        return self.table("playlist_items").filter(F.col("name_key") == name_key(name)).orderBy("position")
+        rows = self.table("playlists").filter(F.col("name_key") == name_key(name))
+        return rows.select("name_key", F.explode("items").alias("i")).select("name_key", "i.*").orderBy("position")
 
     def list(self) -> DataFrame:
-        """All playlists by key, each with its ordered items: one join, no query for each playlist."""
-        grouped = self.table("playlist_items").groupBy("name_key").agg(F.array_sort(F.collect_list(F.struct("position", "track_id", "sequence_score", "base_score"))).alias("items"))
-        return self.table("playlists").join(grouped, "name_key", "left").orderBy("name_key")
+        """All playlists by key, each with its ordered items."""
+        return self.table("playlists").orderBy("name_key")
 
     def delete(self, name: str) -> bool:
         key = name_key(name)
         if self.get(name) is None:
             return False
-        for table in ("playlists", "playlist_items"):
-            self.replace(table, self.table(table).filter(F.col("name_key") != key))
+        self.replace("playlists", self.table("playlists").filter(F.col("name_key") != key))
         return True
 
     def rename(self, old: str, new: str, *, now: datetime | None = None) -> bool:
@@ -113,9 +112,9 @@ class Store:
         if a != b and self.get(new) is not None:
             raise ValueError(f"a playlist of that name exists: {new!r}")
         mine = F.col("name_key") == a
-        heads = self.table("playlists").withColumns({"name": F.when(mine, F.lit(" ".join(new.split()))).otherwise(F.col("name")), "updated_at": F.when(mine, F.lit(_utc(now))).otherwise(F.col("updated_at"))})
-        self.replace("playlist_items", self.table("playlist_items").withColumn("name_key", F.when(mine, F.lit(b)).otherwise(F.col("name_key"))))
-        self.replace("playlists", heads.withColumn("name_key", F.when(mine, F.lit(b)).otherwise(F.col("name_key"))))
+        changes = {"name": F.lit(" ".join(new.split())), "updated_at": F.lit(_utc(now)), "name_key": F.lit(b)}
+        rows = self.table("playlists")
+        self.replace("playlists", rows.select(*(F.when(mine, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in rows.columns)))
         return True
 
 

@@ -120,10 +120,9 @@ def test_fusion_of_results(spark):
     assert [(r.track_id, r.score) for r in hybrid.fuse(none, results(spark, ("x", -0.5), ("y", 0.5))).collect()] == [("y", 0.5), ("x", 0.0)]
     got = {r.track_id: r for r in hybrid.fuse(results(spark, ("a", 0.8), ("b", 0.8)), none).collect()}
     assert got["a"].lexical_normalized_score == got["b"].lexical_normalized_score == 1.0
-    with pytest.raises(ValueError):
-        hybrid.fuse(results(spark, ("a", float("nan"))), none)
-    with pytest.raises(ValueError):
-        hybrid.fuse(results(spark, ("a", 1.0), ("a", 2.0)), none)
+    for bad in ((("a", float("nan")),), (("a", 1.0), ("a", 2.0)), ((" ", 1.0),)):
+        with pytest.raises(Exception, match="unique ids and finite scores"):
+            hybrid.fuse(results(spark, *bad), none).collect()
     for bad in ((True, 1), (-1, 2), (0, 0), (float("inf"), 1)):
         with pytest.raises(ValueError):
             hybrid.HybridWeights(*bad)
@@ -187,21 +186,24 @@ def test_summary_and_recent(spark):
     assert [r.id for r in events.recent(e, limit=2).collect()] == [4, 2]
     lines = events.format_events(event_rows(spark, ("a", "play", NOW, "x\ty\n"))).head().line
     assert lines == "2026-09-29T12:00:00+00:00\tplay\ta\tx\\ty\\n\t"
-    profile = preference.taste_profile(e, now=NOW).head()
-    assert profile.positive_track_ids == ["a", "b", "c"] and profile.skip_track_ids == ["b"] and profile.negative_track_ids == []
+    profile = preference.taste_lists(preference.taste_profile(e, now=NOW))
+    assert profile["positive"] == ["a", "b", "c"] and profile["skip"] == ["b"] and profile["negative"] == [] and profile["context"] == [" ", " Coding", "GYM ", "coding", "gym"]
 
 
 def test_fusion(spark):
-    got = ranking.rank(signals(spark, b={"learned_score": 0.5, "preference_score": 1.0}, a={"metadata_score": float("nan")}, c={})).collect()
-    assert [r.track_id for r in got] == ["b", "a", "c"] and round(got[0].score, 9) == 0.36 and got[1].score == 0.0
-    assert got[0].strongest_signal == "learned_score" and got[1].strongest_signal is None
+    # .18 * .2 + .18 * 1 - .05 * 2 = .116; equal halves of learned and preference weigh .36 and .18
+    rows = signals(spark, x={"metadata_score": 0.2, "dsp_score": 1.0, "novelty_score": -2.0}, y={"learned_score": 0.4, "preference_score": 0.4}, n={"diversity_score": float("inf")}, m={})
+    got = ranking.rank(rows).collect()
+    assert [(r.track_id, round(r.score, 9)) for r in got] == [("y", 0.216), ("x", 0.116), ("m", 0.0), ("n", 0.0)]
+    assert [r.strongest_signal for r in got] == ["learned_score", "dsp_score", None, None]
+    assert [round(c["contribution"], 9) for c in got[1].contributions] == [0.036, 0.18, 0.0, 0.0, -0.1, 0.0]
     with pytest.raises(ValueError):
         ranking.FusionWeights(0, 0, 0, 0, 0, 0).normalized()
     with pytest.raises(ValueError):
         ranking.rank(signals(spark, a={}), limit=0)
-    similar = spark.createDataFrame([("b", 0.9), ("c", 0.1), ("a", 1.0)], "track_id string, score double")
-    learned = {r.track_id: r.learned_score for r in ranking.with_learned(signals(spark, a={}, b={}, c={}), similar, "a").collect()}
-    assert {k: round(v, 9) for k, v in learned.items()} == {"a": 0.0, "b": 0.95, "c": 0.55}
+    similar = spark.createDataFrame([("p", -0.5), ("q", 0.5), ("seed", 1.0), ("odd", float("nan"))], "track_id string, score double")
+    learned = {r.track_id: r.learned_score for r in ranking.with_learned(signals(spark, p={}, q={}, seed={}, odd={}, far={"learned_score": 0.3}), similar, "seed").collect()}
+    assert {k: round(v, 9) for k, v in learned.items()} == {"p": 0.25, "q": 0.75, "seed": 0.0, "odd": 0.0, "far": 0.3}
 
 
 INTENTS = ["dark Tamil BGM for a chase", "very high energy south-indian mass entry", "calm folk songs without vocals", "something I know", "vocal romance, moderate", "nothing at all", "High_energy intense discovery less vocal"]
@@ -234,21 +236,37 @@ def sequence_rows(**rows):
 
 
 def test_sequences(spark):
-    ids = lambda rows, mode, **k: [r[0] for r in sequencing.order(rows, mode, k.pop("limit", 10), **k)]
-    rows = sequence_rows(seed={"energy": 0.5}, near={"energy": 0.6}, far={"energy": 1.0})
-    assert ids(rows, "smooth", seed="seed") == ["seed", "near", "far"]
-    assert ids(rows, "contrast", seed="seed") == ["seed", "far", "near"]
-    assert [sequencing.target_energy(i, 5) for i in range(5)] == [0.3, 0.45, 0.6, 0.75, 0.9]
-    assert ids(sequence_rows(low={"energy": 0.3, "base_score": 0.9}, mid={"energy": 0.6}, high={"energy": 0.9}), "journey") == ["low", "mid", "high"]
-    assert ids(sequence_rows(familiar={"base_score": 0.9}, known={"base_score": 0.5}, discovery={"base_score": 0.4, "novelty_score": 1.0}), "discovery", limit=2) == ["familiar", "discovery"]
-    for bad in (sequence_rows(a={"energy": 2.0}), sequence_rows(a={"tempo_bpm": 0.0}), sequence_rows(a={"base_score": float("nan")})):
+    """Five tracks whose steps are worked out by hand: distance is .5 of energy, .005 of tempo and .2 of brightness."""
+    rows = sequence_rows(
+        dawn={"base_score": 0.70, "energy": 0.2, "tempo_bpm": 80.0, "brightness": 0.1},
+        noon={"base_score": 0.60, "energy": 0.9, "tempo_bpm": 140.0, "brightness": 0.8, "novelty_score": 0.1},
+        dusk={"base_score": 0.55, "energy": 0.3, "tempo_bpm": 90.0, "brightness": None, "novelty_score": 0.9},
+        night={"base_score": 0.40, "energy": None, "tempo_bpm": 60.0, "brightness": 0.1, "novelty_score": 0.6},
+        rain={"base_score": 0.55, "energy": 0.3, "tempo_bpm": 90.0, "brightness": 0.6, "novelty_score": 0.9},
+    )
+    got = lambda mode, limit=5, **k: [(i, round(s, 6)) for i, s, _ in sequencing.order(rows, mode, limit, **k)]
+    # from dawn: noon .6 - (.35 + .3 + .14), dusk .55 - (.05 + .05), night .4 - .1, rain .55 - (.05 + .05 + .1)
+    assert got("smooth", 2) == [("dawn", 0.7), ("dusk", 0.45)]
+    # then from dusk: rain .55 - 0 (brightness unknown), noon .6 - (.3 + .25), night .4 - .15
+    assert got("smooth", 4)[2:] == [("rain", 0.55), ("night", 0.15)]
+    assert got("contrast", 2) == [("dawn", 0.7), ("noon", 1.39)]
+    # journey over three: targets .3, .6, .9
+    assert got("journey", 3) == [("dawn", 0.7), ("night", 0.4), ("noon", 0.6)]
+    assert got("discovery", 3) == [("dawn", 0.7), ("dusk", 1.0), ("rain", 1.0)]
+    assert got("smooth", 2, seed="night")[0] == ("night", 0.4)
+    assert [sequencing.target_energy(i, 4) for i in range(4)] == [0.3, 0.5, 0.7, 0.9] and sequencing.target_energy(0, 1) == 0.5
+    assert sequencing.order([], "smooth", 3) == []
+    for bad in ({"energy": 1.01}, {"tempo_bpm": -4.0}, {"base_score": float("inf")}, {"brightness": -0.1}):
         with pytest.raises(ValueError):
-            sequencing.order(bad, "smooth", 5)
+            sequencing.order(sequence_rows(one=bad), "smooth", 5)
     with pytest.raises(ValueError):
-        sequencing.order(rows, "smooth", 5, seed="zz")
-    frame = spark.createDataFrame([(q, r["track_id"], r["base_score"], r["energy"], None, None, 0.0) for q in ("q1", "q2") for r in rows], "request_id string, track_id string, base_score double, energy double, tempo_bpm double, brightness double, novelty_score double")
-    got = sequencing.sequence(frame, mode="smooth", seed="seed").orderBy("request_id", "position").collect()
-    assert [(r.request_id, r.track_id) for r in got] == [(q, t) for q in ("q1", "q2") for t in ("seed", "near", "far")]
+        sequencing.order(rows, "smooth", 5, seed="fog")
+    kinds = "track_id string, base_score double, energy double, tempo_bpm double, brightness double, novelty_score double"
+    names = [k.split()[0] for k in kinds.split(", ")]
+    frame = spark.createDataFrame([(q, *(r[n] for n in names)) for q in ("first", "second") for r in rows], "request_id string, " + kinds)
+    both = sequencing.sequence(frame, mode="contrast", limit=3).orderBy("request_id", "position").collect()
+    one = [i for i, _ in got("contrast", 3)]
+    assert [(r.request_id, r.track_id) for r in both] == [(q, t) for q in ("first", "second") for t in one]
 
 
 def test_flows(spark):
@@ -307,6 +325,27 @@ def items(spark, *ids):
     return spark.createDataFrame([(n, t, 0.5, 0.25) for n, t in enumerate(ids)], "position int, track_id string, sequence_score double, base_score double")
 
 
+def test_edits_of_tables_with_faults(spark):
+    rows = spark.createDataFrame([(1, [("a",), ("b",), ("c",)]), (2, [("a",)]), (3, [("b",), ("a",)])], "id int, items array<struct<track_id string>>")
+    got = {r.id: ("".join(x["track_id"] for x in r["items"]), r.fault) for r in P.apply_edits(rows, [P.Swap("a", "b"), P.Move("a", 2), P.Remove("b")], faults=True).collect()}
+    assert got == {1: ("ca", None), 2: ("a", "track not in playlist: b"), 3: ("ab", "position outside the playlist")}
+    with pytest.raises(Exception, match="playlist"):
+        P.apply_edits(rows, [P.Remove("b")]).collect()
+
+
+def test_commands_of_many_words():
+    cases = {
+        "move track before x": P.MoveBefore("track", "x"), "move before dawn after dusk": P.MoveAfter("before dawn", "dusk"), "move to the sea to 2": P.Move("to the sea", 1),
+        "swap bread and butter with jam": P.Swap("bread", "butter with jam"), "delete all by x": P.Remove("all by x"), "remove track": P.Remove("track"), "KEEP THE FIRST 4": P.Trim(4),
+        "move track 7 to position 3": P.Move("7", 2), "remove all track from album first": P.MetadataFilter("remove", "album", "first"), "keep only by 'A  b'": P.MetadataFilter("keep_only", "artist", "A b"),
+    }
+    for text, command in cases.items():
+        assert P.parse_edit(text) == command, text
+    for bad in ("keep first", "keep only", "retain only by x", "trim 4", "move a to", "swap a b", "move a to x", "keep 3 songs"):
+        with pytest.raises(ValueError):
+            P.parse_edit(bad)
+
+
 def test_catalog_edits(spark):
     t = track_rows(spark, {"track_id": "1", "title": "Alpha Song", "artist": "X  Y", "genre": "bgm"}, {"track_id": "2", "title": "Beta", "artist": "Z", "genre": "pop, bgm"}, {"track_id": "3", "title": "beta", "artist": "x y", "status": "inactive"}, {"track_id": "4", "title": "Beta", "file_name": "four.mp3"})
     left = lambda command: [r.track_id for r in P.filter_by_metadata(items(spark, "1", "2", "3", "9"), t, P.parse_edit(command)).orderBy("position").collect()]
@@ -373,6 +412,86 @@ def test_store(spark, tmp_path):
         store.save("x", [("a", 1.0, 1.0), ("a", 1.0, 1.0)])
 
 
+def test_publishing_leaves_no_gap(spark, tmp_path, monkeypatch):
+    """A crash at any step of publishing leaves the old version to be read; a stray part file is nothing."""
+    path = str(tmp_path / "p" / "current")
+    assert vectors.published(spark, path) is None
+    for n in range(12):
+        vectors.publish(spark, path, f"version {n}")
+        assert vectors.published(spark, path) == f"version {n}"
+    assert len([f for f in (tmp_path / "p").iterdir() if f.name.startswith("current.v")]) == 2
+    real = vectors._fs
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == "rename":
+                raise OSError("the machine stops here")
+            return getattr(self.fs, name)
+
+    monkeypatch.setattr(vectors, "_fs", lambda spark, path: (Broken(real(spark, path)[0]), real(spark, path)[1]))
+    with pytest.raises(OSError):
+        vectors.publish(spark, path, "never")
+    monkeypatch.undo()
+    assert vectors.published(spark, path) == "version 11"
+
+
+def test_damaged_index_is_not_searched(spark, tmp_path):
+    index = vectors.VectorIndex(spark, str(tmp_path / "v"))
+    index.save(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "track_id string, vector array<double>"))
+    spark.createDataFrame([("c", [1.0, 0.0])], "track_id string, vector array<double>").write.mode("append").parquet(str(tmp_path / "v" / index.manifest()["data"]))
+    with pytest.raises(ValueError, match="manifest"):
+        index.search([1.0, 0.0])
+    with pytest.raises(ValueError, match="manifest"):
+        index.similar("a")
+    assert index.search([1.0, 0.0], verify=False).count() == 3
+
+
+def test_unchanged_files_are_not_opened(spark, tmp_path):
+    music = tmp_path / "music"
+    music.mkdir()
+    for name in ("old.mp3", "new.mp3"):
+        (music / name).write_bytes(b"sound")
+    store = Store(spark, str(tmp_path / "db"))
+    meta = lambda content, name: {"title": name}
+    silent = lambda content, name: {"sample_rate": 8000, "channels": 1, "analysis_seconds": 0.0, "mfcc_json": "[]", "chroma_json": "[]"}
+    assert ingest.scan(store, str(music), metadata=meta, analyzer=silent)[0] == 2
+    row = store.table("tracks").filter("file_name = 'old.mp3'").head()
+    assert (row.source_type, row.analysis_mode, row.analysis_seconds, row.sample_rate, row.tempo_bpm) == ("local_file", "bounded", 0.0, 8000, None)
+    opened = tmp_path / "opened"
+    opened.mkdir()
+
+    def watched(content, name):
+        (opened / name).touch()
+        return {"title": name}
+
+    (music / "new.mp3").write_bytes(b"another sound")
+    (music / "sp ace+%.mp3").write_bytes(b"x")
+    n, issues = ingest.scan(store, str(music), metadata=watched, analyzer=silent)
+    assert store.table("tracks").filter("file_name = 'sp ace+%.mp3'").head().source_uri == (music / "sp ace+%.mp3").as_uri()
+    assert n == 2 and issues.count() == 0 and sorted(p.name for p in opened.iterdir()) == ["new.mp3", "sp ace+%.mp3"]
+
+
+def test_documents_in_the_plan(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    store.save("Mix", [("a", 1.0, 0.5), ("b", 0.25, 0.5)], now=NOW)
+    docs = playlist_files.json_documents(store.table("playlists"))
+    assert playlist_files.parse_json(docs.head().value) == ("Mix", [("a", 1.0, 0.5), ("b", 0.25, 0.5)])
+    good = json.loads(docs.head().value)
+    item = good["items"][0]
+    bad = [{"version": 2}, {"name": " "}, {"created_at": "2026-01-01T00:00:00"}, {"items": None}, {"items": [item | {"position": 2}]}, {"items": [item | {"base_score": None}]}, {"items": [item, item | {"position": 2}]}, {"items": [item | {"track_id": ""}]}]
+    texts = [json.dumps(good)] + [json.dumps(good | b) for b in bad] + ["no json"]
+    got = playlist_files.json_rows(spark.createDataFrame(list(enumerate(texts)), "path int, value string")).orderBy("path").collect()
+    assert got[0].fault is None and [i["track_id"] for i in got[0]["items"]] == ["a", "b"]
+    assert all(r.fault is not None and r["items"] is None for r in got[1:]), [r.fault for r in got]
+    t = track_rows(spark, {"track_id": "a", "source_uri": "file:///a.mp3"}, {"track_id": "b", "source_uri": "file:///b.mp3", "status": "missing"})
+    text = "#EXTM3U\n#EXTINF:1,x\nfile:///a.mp3\n#EXTINF:1,y\nfile:///b.mp3\n"
+    rows = playlist_files.import_rows(spark.createDataFrame([("p", text)], "path string, value string"), t).orderBy("position").collect()
+    assert [(r.position, r.track_id, r.fault) for r in rows] == [(0, "a", None), (1, None, "not an active track")]
+
+
 def test_incremental_scan(spark, tmp_path):
     music = tmp_path / "music"
     (music / "sub").mkdir(parents=True)
