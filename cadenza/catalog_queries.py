@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza import fixtures as X
+from cadenza.functions import scalars as S
 from cadenza.operators import catalog, evaluation, hybrid, intent, lexical, preference, ranking, vectors
 from cadenza.operators import events as E
 from cadenza.operators import playlists as P
 from cadenza.plans import flows
 from cadenza.schemas import EVENT_TYPES, SIGNALS
-from cadenza.sources import playlist_files
+from cadenza.sources import ingest, playlist_files
+from cadenza.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 REQUEST = "high energy cinematic something new"
-CONTEXT, LEXICAL, EXPANDED = "work", "small green anodized", "steel ost"
+CONTEXT, LEXICAL = "work", "small green anodized"
 LIMIT = 25
 
 
@@ -56,9 +59,9 @@ def music_dna(s: SparkSession, d: str) -> DataFrame:
     return catalog.music_dna(X.tracks(s, d)).select("track_id", _r("tempo_bpm"), _r("energy"), _r("brightness"), F.size("mfcc").alias("n_mfcc"))
 
 
-@query(_with(X.TRACKS) + f"SELECT track_id, array_to_string({GENRES}, ';') AS genres FROM tracks WHERE status = 'active' ORDER BY track_id LIMIT 100")
+@query(_with(X.TRACKS) + f"SELECT track_id, array_to_string({GENRES}, ';') AS genres FROM tracks WHERE status = 'active'")
 def catalog_candidates(s: SparkSession, d: str) -> DataFrame:
-    return catalog.candidates(X.tracks(s, d), limit=100).select("track_id", F.concat_ws(";", "genres").alias("genres"))
+    return catalog.candidates(X.tracks(s, d)).select("track_id", F.concat_ws(";", "genres").alias("genres"))
 
 
 @query(_with(X.TRACKS) + "SELECT track_id, pos FROM tracks JOIN (VALUES ('00000012', 0), ('00000009', 1), ('00000003', 2), ('99999999', 3)) a(track_id, pos) USING (track_id) WHERE status = 'active'")
@@ -71,26 +74,79 @@ TEXT = "'title: ' || title || ' | artist: ' || artist || ' | album: ' || album |
 
 @query(_with(X.TRACKS) + f"SELECT track_id, {TEXT} AS text, sha256(source_uri) AS stable_id FROM tracks")
 def catalog_text(s: SparkSession, d: str) -> DataFrame:
-    from cadenza.sources.ingest import stable_track_id
-
     t = X.tracks(s, d)
-    return catalog.catalog_text(t).join(t.select("track_id", stable_track_id(F.col("source_uri")).alias("stable_id")), "track_id")
+    return catalog.catalog_text(t).join(t.select("track_id", ingest.stable_track_id(F.col("source_uri")).alias("stable_id")), "track_id")
+
+
+_SUMS = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, {15 if i < 3 else 15}) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS s{i}" for i in range(4))
+
+
+@query(_with(X.TRACKS, f"rows AS (SELECT sha256(track_id || chr(0) || {TEXT}) AS h FROM tracks WHERE status = 'active')") + f"SELECT count(*) AS n, {_SUMS} FROM rows")
+def catalog_fingerprint(s: SparkSession, d: str) -> DataFrame:
+    got = vectors.fingerprint_parts(catalog.catalog_text(catalog.active(X.tracks(s, d))))
+    return got.select("n", *(F.col(f"s{i}").cast("string").alias(f"s{i}") for i in range(4)))
+
+
+_DESCRIBED = """tr AS (SELECT *, CAST(track_id AS BIGINT) AS k FROM tracks),
+ des AS (SELECT *, CASE k % 3 WHEN 0 THEN ['dark'] WHEN 1 THEN ['happy', 'sad'] ELSE [] END AS moods, CASE k % 4 WHEN 0 THEN 'vocal' WHEN 1 THEN 'instrumental' ELSE 'any' END AS voice,
+  CASE WHEN k % 5 = 0 THEN [] ELSE list_transform(range(1, 14), lambda i: CAST((k + i * i) % 7 AS DOUBLE)) END AS mfcc, list_transform(range(1, 13), lambda i: CAST((k + i * i) % 5 AS DOUBLE)) AS chroma FROM tr)"""
+
+
+@query(_with(X.TRACKS, _DESCRIBED) + "SELECT track_id, array_to_string(mfcc, ',') AS mfcc, array_to_string(chroma, ',') AS chroma FROM des")
+def music_dna_vectors(s: SparkSession, d: str) -> DataFrame:
+    got = catalog.music_dna(X.described(s, d))
+    return got.select("track_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("mfcc", "chroma")))
+
+
+_RAW = "list_concat([tempo_bpm, rms_energy, spectral_centroid, CAST(k % 900 AS DOUBLE), CAST(k % 700 AS DOUBLE), (k % 10) / 10.0::DOUBLE], mfcc, chroma)"
+
 
+@query(_with(X.TRACKS, _DESCRIBED, f"raw AS (SELECT track_id, {_RAW} AS x FROM des WHERE k % 5 <> 0)", "unit AS (SELECT track_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v))) AS n FROM raw)") + "SELECT track_id, i - 1 AS place, round(CAST(CAST(x[i] / n AS FLOAT) AS DOUBLE), 5) + 0.0 AS value FROM (SELECT *, unnest(range(1, 32)) AS i FROM unit)")
+def dsp_embedding(s: SparkSession, d: str) -> DataFrame:
+    whole = X.described(s, d).filter(F.col("mfcc_json") != "broken")  # a vector of another length is an error
+    got = catalog.dsp_embedding(whole).select("track_id", F.posexplode_outer("vector").alias("place", "value"))  # outer: no filter on the vector runs ahead of the one above
+    return got.select("track_id", "place", (F.round(F.col("value").cast("double"), 5) + 0.0).alias("value"))
 
-@query(_with(X.TRACKS) + f"SELECT count(*) AS n, count(DISTINCT sha256(track_id || chr(0) || {TEXT})) AS distinct_rows FROM tracks WHERE status = 'active'")
-def catalog_fingerprint_rows(s: SparkSession, d: str) -> DataFrame:
-    texts = catalog.catalog_text(catalog.active(X.tracks(s, d)))
-    return texts.agg(F.count("*").alias("n"), F.countDistinct(F.sha2(F.concat_ws("\0", "track_id", "text"), 256)).alias("distinct_rows"))
+
+_PATH = "'/music/' || (CASE k % 4 WHEN 0 THEN 'a b' WHEN 1 THEN 'ü+1' ELSE 'x' END) || track_id || (CASE k % 5 WHEN 0 THEN '.mp3' WHEN 1 THEN '.FLAC' WHEN 2 THEN '.txt' WHEN 3 THEN '.Opus' ELSE '' END)"
+_CODED = "'file:///music/' || (CASE k % 4 WHEN 0 THEN 'a%20b' WHEN 1 THEN '%C3%BC%2B1' ELSE 'x' END) || track_id || (CASE k % 5 WHEN 0 THEN '.mp3' WHEN 1 THEN '.FLAC' WHEN 2 THEN '.txt' WHEN 3 THEN '.Opus' ELSE '' END)"
+
+
+@query(_with(X.TRACKS, _DESCRIBED) + f"SELECT track_id, k % 5 IN (0, 1, 3) AS audio, {_CODED} AS uri FROM des")
+def audio_paths(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("track_id").cast("long")
+    middle = F.when(k % 4 == 0, "a b").when(k % 4 == 1, "ü+1").otherwise("x")
+    ending = F.when(k % 5 == 0, ".mp3").when(k % 5 == 1, ".FLAC").when(k % 5 == 2, ".txt").when(k % 5 == 3, ".Opus").otherwise("")
+    rows = X.tracks(s, d).withColumn("path", F.concat(F.lit("file:/music/"), middle, "track_id", ending))
+    return rows.select("track_id", ingest.is_audio(F.col("path")).alias("audio"), ingest.file_uri(F.col("path")).alias("uri"))
+
+
+@query(_with(X.TRACKS, "f AS (SELECT *, CAST(track_id AS BIGINT) AS k FROM tracks WHERE CAST(track_id AS BIGINT) % 7 <> 0)") + """SELECT source_uri, k % 11 = 0 OR k % 13 = 0 OR k % 17 = 0 OR k % 19 = 0 OR k % 23 = 0 AS changed FROM f""")
+def changed_files(s: SparkSession, d: str) -> DataFrame:
+    """Files of the folder against what the last scan saw: sizes, times, rows and versions of some differ."""
+    k = F.col("track_id").cast("long")
+    rows = X.tracks(s, d).filter(k % 7 != 0)
+    files = rows.select("source_uri", F.lit(10).alias("file_size"), F.lit(20).alias("modified_at_ns"))
+    state = rows.filter(k % 11 != 0).select("source_uri", F.when(k % 13 == 0, 11).otherwise(10).alias("file_size"), F.when(k % 17 == 0, 21).otherwise(20).alias("modified_at_ns"), F.lit("h").alias("content_hash"))
+    config = ingest.AnalysisConfig()
+    version = F.when(k % 23 == 0, "old").otherwise(config.version)
+    known = X.tracks(s, d).filter(k % 19 != 0).select("source_uri", "track_id", version.alias("analysis_version"), F.lit(1.0).alias("analysis_seconds"))
+    return ingest.changed_files(files, state, known, config).select("source_uri", "changed")
 
 
 # -- listening events -----------------------------------------------------------------------
 
 
+CHANNELS = {
+    "positive": "CASE event_type WHEN 'play' THEN 0.15 WHEN 'complete' THEN 0.35 WHEN 'like' THEN 1.0 ELSE 0 END",
+    "negative": "CASE event_type WHEN 'dislike' THEN 1.0 ELSE 0 END",
+    "replay": "CASE event_type WHEN 'replay' THEN 1.25 ELSE 0 END",
+    "skip": "CASE event_type WHEN 'skip' THEN 0.75 ELSE 0 END",
+}
+
+
 def _counters(where: str = "true") -> str:
-    parts = []
-    for c in preference.CHANNELS:
-        cases = " ".join(f"WHEN '{k}' THEN {w}" for k, (x, w) in preference.WEIGHTS.items() if x == c)
-        parts.append(f"sum(decay * CASE event_type {cases} ELSE 0 END) AS {c}")
+    parts = [f"sum(decay * {case}) AS {c}" for c, case in CHANNELS.items()]
     return f"pref AS (SELECT track_id, {', '.join(parts)}, sum(decay) AS exposure, tanh((positive + replay - negative - skip) / 2) AS preference_score, 1 / (1 + sum(decay)) AS novelty_score FROM ev WHERE {where} GROUP BY track_id)"
 
 
@@ -113,17 +169,20 @@ def novelty_context(s: SparkSession, d: str) -> DataFrame:
 
 
 def _taste_sql() -> str:
-    parts = []
-    for c in preference.CHANNELS:
-        kinds = ", ".join(f"'{k}'" for k, (x, _) in preference.WEIGHTS.items() if x == c)
-        parts.append(f"(SELECT string_agg(track_id, ',' ORDER BY round({c}, 9) DESC, first_id, track_id) FROM (SELECT track_id, {c}, (SELECT min(id) FROM ev e WHERE e.track_id = pref.track_id AND event_type IN ({kinds})) AS first_id FROM pref) WHERE first_id IS NOT NULL) AS {c}_track_ids")
-    return _with(X.EVENTS, _counters()) + "SELECT " + ", ".join(parts) + ", (SELECT string_agg(context, ',' ORDER BY context) FROM (SELECT DISTINCT context FROM ev WHERE context <> '')) AS contexts"
+    parts = [f"SELECT '{c}' AS channel, track_id AS value, round({c}, 6) + 0.0 AS strength, (SELECT min(id) FROM ev e WHERE e.track_id = pref.track_id AND {case} > 0) AS first_event FROM pref" for c, case in CHANNELS.items()]
+    contexts = "SELECT 'context', context, NULL, min(id) FROM ev WHERE context <> '' GROUP BY context"
+    return _with(X.EVENTS, _counters()) + f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE first_event IS NOT NULL UNION ALL {contexts}"
 
 
 @query(_taste_sql())
 def taste_profile(s: SparkSession, d: str) -> DataFrame:
-    got = preference.taste_profile(X.events(s, d), now=X.NOW)
-    return got.select(*(F.concat_ws(",", c).alias(c) for c in got.columns))
+    return preference.taste_profile(X.events(s, d), now=X.NOW).select("channel", "value", _r("strength"), "first_event")
+
+
+@query(_with(X.EVENTS, _counters()) + "SELECT track_id, round(greatest(-1, least(1, positive + replay - negative - skip)), 6) + 0.0 AS boost FROM pref")
+def preference_boost(s: SparkSession, d: str) -> DataFrame:
+    net = S.preference_score(*(F.col(c) for c in ("positive", "negative", "replay", "skip")))
+    return preference.preference(X.events(s, d), now=X.NOW).withColumn("boost", S.preference_boost(net)).select("track_id", _r("boost"))
 
 
 @query(_with(X.EVENTS) + "SELECT id, track_id, event_type, epoch_us(occurred_at) AS micros FROM ev ORDER BY occurred_at DESC, id DESC LIMIT 1000")
@@ -146,6 +205,32 @@ def event_summary_totals(s: SparkSession, d: str) -> DataFrame:
     return E.totals(X.events(s, d))
 
 
+@query(_with(X.EVENTS) + "SELECT strftime(occurred_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(occurred_at) % 1000000 <> 0 THEN strftime(occurred_at, '.%f') ELSE '' END || '+00:00' || chr(9) || event_type || chr(9) || track_id || chr(9) || coalesce(context, '') || chr(9) AS line FROM ev")
+def event_lines(s: SparkSession, d: str) -> DataFrame:
+    return E.format_events(X.events(s, d).withColumn("seconds_played", F.lit(None).cast("double")))
+
+
+@query(_with(X.TRACKS, X.EVENTS) + "SELECT id, track_id FROM ev WHERE EXISTS (SELECT 1 FROM tracks t WHERE t.track_id = ev.track_id AND t.track_id <> '00000003')")
+def events_of_known_tracks(s: SparkSession, d: str) -> DataFrame:
+    return E.known_tracks(X.events(s, d).select("id", "track_id"), X.tracks(s, d).filter("track_id <> '00000003'"))
+
+
+@query("SELECT * FROM (VALUES ('00000001', 'like', 'gym', 1704067200000000), ('00000001', 'skip', NULL, 1704070800000000), ('00000009', 'play', 'Work', 1704067200000001)) v(track_id, event_type, context, micros)")
+def store_events(s: SparkSession, d: str) -> DataFrame:
+    """Events recorded one by one (an unknown track is refused), as read back."""
+    store = Store(s, X.scratch(s))
+    store.replace("tracks", X.tracks(s, d))
+    at = datetime(2024, 1, 1, tzinfo=UTC)
+    store.record_event("00000001", "like", occurred_at=at, context="gym")
+    store.record_event("00000001", "skip", occurred_at=at + timedelta(hours=1), context="  ")
+    store.record_event("00000009", "play", occurred_at=at + timedelta(microseconds=1), context="Work")
+    try:
+        store.record_event("no track", "play", occurred_at=at)
+    except ValueError:
+        return store.table("listening_events").select("track_id", "event_type", "context", F.unix_micros("occurred_at").alias("micros"))
+    raise AssertionError("an event of an unknown track was recorded")
+
+
 # -- intent, ranking, flows --------------------------------------------------------------------
 
 CAND = "cand AS (SELECT track_id, title, least(1, rms_energy) AS energy, tempo_bpm, least(1, spectral_centroid / 8000) AS brightness, 0.0::DOUBLE AS own_novelty FROM tracks WHERE status = 'active')"
@@ -165,32 +250,38 @@ def intent_scores(s: SparkSession, d: str) -> DataFrame:
     return got.select("track_id", _r("intent_score"), _r("energy_match"), F.concat_ws(",", "matched_dimensions").alias("matched"))
 
 
-def _requests() -> list[str]:
-    return ["dark Tamil BGM for a chase", "very high energy south-indian mass entry", "calm folk songs without vocals", "something I know", "vocal romance, moderate", "nothing at all"]
+_PHRASES = ("dark Tamil BGM for a chase", "very high energy south-indian mass entry", "calm folk songs without vocals", "something I know", "vocal romance, moderate", "nothing at all")
+# what a reader finds in each of the phrases
+_READ = """a(i, genres, moods, languages, regions, instrumentation, music_types, scenes, negative_terms, energy, vocal_preference, novelty, confidence) AS (VALUES
+ (0, '', 'dark', 'tamil', '', '', 'bgm', 'chase', '', NULL, 'any', 'any', 0.8::DOUBLE),
+ (1, '', 'mass', '', 'south_india', '', '', 'hero_entry', '', 0.95::DOUBLE, 'any', 'any', 0.8::DOUBLE),
+ (2, '', 'folk', '', '', '', 'song', '', 'vocals', 0.3::DOUBLE, 'instrumental', 'any', 0.8::DOUBLE),
+ (3, '', '', '', '', '', '', '', '', NULL, 'any', 'familiar', 0.2::DOUBLE),
+ (4, '', '', '', '', '', '', 'romance', '', 0.5::DOUBLE, 'vocal', 'any', 0.6::DOUBLE),
+ (5, '', '', '', '', '', '', '', '', NULL, 'any', 'any', 0.0::DOUBLE))"""
 
 
-def _says(phrase: str) -> str:
-    return f"regexp_matches(p, '{intent._rule(phrase)}')"
+@query(_with(_READ) + "SELECT c_custkey AS request_id, genres, moods, languages, regions, instrumentation, music_types, scenes, negative_terms, energy, vocal_preference, novelty, confidence FROM customer JOIN a ON c_custkey % 6 = i")
+def intent_requests(s: SparkSession, d: str) -> DataFrame:
+    """A request for each customer, who signs with a number."""
+    text = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("c_custkey") % 6 + 1).cast("int"))
+    rows = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("request_id"), F.concat(text, F.lit(", "), F.col("c_custkey").cast("string")).alias("text"))
+    got = intent.parse_intents(rows)
+    facets = ("genres", "moods", "languages", "regions", "instrumentation", "music_types", "scenes", "negative_terms")
+    return got.select("request_id", *((F.concat_ws(",", f) if f in got.columns else F.lit("")).alias(f) for f in facets), "energy", "vocal_preference", "novelty", "confidence")
 
 
-def _intents_sql() -> str:
-    rows = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_requests()))
-    lists = {f: "list_distinct(list_filter([" + ", ".join(f"CASE WHEN {_says(k)} THEN '{v}' END" for k, v in words.items()) + "], lambda x: x IS NOT NULL))" for f, words in intent.VOCABULARY.items()}
-    first = lambda rules: "CASE " + " ".join(f"WHEN {' OR '.join(map(_says, phrases))} THEN {v!r}" for phrases, v in rules) + " END"
-    read = ", ".join(f"{sql} AS {f}" for f, sql in lists.items())
-    hits = " + ".join(f"len({f})" for f in lists)
-    return f"""WITH r AS (SELECT request_id, trim(regexp_replace(regexp_replace(lower(t), '[-_]+', ' ', 'g'), '\\s+', ' ', 'g')) AS p FROM (VALUES {rows}) v(request_id, t)),
- f AS (SELECT request_id, {read}, {first(intent.ENERGIES)} AS e, {first(intent.VOCALS)} AS v, {first(intent.NOVELTIES)} AS n FROM r)
-SELECT request_id, {", ".join(f"array_to_string(list_sort({f}), ',') AS {f}" for f in lists)}, CASE WHEN v = 'without' THEN 'vocals' ELSE '' END AS negative_terms, CAST(e AS DOUBLE) AS energy,
- CASE WHEN v IS NULL THEN 'any' WHEN v = 'without' THEN 'instrumental' ELSE v END AS vocal_preference, coalesce(n, 'any') AS novelty,
- round(least(1.0::DOUBLE, 0.2::DOUBLE * ({hits} + (e IS NOT NULL)::INT + (v IS NOT NULL)::INT + (n IS NOT NULL)::INT)), 3) AS confidence FROM f"""
+# dark and happy: two moods; energy .3; no vocals; something new
+_FACETED = """fac AS (SELECT track_id, len(list_intersect(moods, ['dark', 'happy'])) / 2.0::DOUBLE AS mood, greatest(0, 1 - abs(least(1, rms_energy) - 0.3)) AS near,
+  CASE voice WHEN 'vocal' THEN 0.0::DOUBLE WHEN 'instrumental' THEN 1.0 ELSE 0.5 END AS voice_score, (k % 10) / 10.0::DOUBLE AS own FROM des WHERE status = 'active')"""
 
 
-@query(_intents_sql())
-def intent_requests(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame([(i, t) for i, t in enumerate(_requests())], "request_id int, text string")
-    got = intent.parse_intents(rows)
-    return got.select("request_id", *(F.concat_ws(",", f).alias(f) for f in (*intent.VOCABULARY, "negative_terms")), "energy", "vocal_preference", "novelty", "confidence")
+@query(_with(X.TRACKS, _DESCRIBED, _FACETED) + "SELECT track_id, round((mood + near + voice_score + own) / 4, 6) + 0.0 AS intent_score, round(voice_score, 6) AS vocal_match, round(own, 6) AS novelty_match, concat_ws(',', CASE WHEN mood > 0 THEN 'moods' END, CASE WHEN near > 0 THEN 'energy' END, CASE WHEN voice_score > 0 THEN 'vocal' END, CASE WHEN own > 0 THEN 'novelty' END) AS matched FROM fac")
+def intent_facets(s: SparkSession, d: str) -> DataFrame:
+    own = (F.col("track_id").cast("long") % 10) / F.lit(10.0)
+    rows = catalog.candidates(X.described(s, d)).withColumn("candidate_novelty", own)
+    got = intent.score(rows, intent.parse_intent("dark happy calm, without vocals, something new"))
+    return got.select("track_id", _r("intent_score"), _r("vocal_match"), _r("novelty_match"), F.concat_ws(",", "matched_dimensions").alias("matched"))
 
 
 @query(_with(*FLOW) + "SELECT track_id, round(score, 6) + 0.0 AS score FROM ranked")
@@ -221,6 +312,16 @@ def novelty_rank(s: SparkSession, d: str) -> DataFrame:
     return ranking.novelty_rank(catalog.candidates(X.tracks(s, d)), X.events(s, d), now=X.NOW, context=CONTEXT).select("track_id", _r("score"))
 
 
+_PARTS = {"metadata_score": "0.18 * intent_score", "dsp_score": "0.18 * energy_match", "preference_score": "0.18 * preference", "novelty_score": "0.05 * novelty"}
+_LARGEST = f"greatest({', '.join(f'abs({p})' for p in _PARTS.values())})"
+_STRONGEST = "CASE " + " ".join(f"WHEN abs({p}) > 0 AND abs({p}) = {_LARGEST} THEN '{n}'" for n, p in _PARTS.items()) + " END"
+
+
+@query(_with(*FLOW) + f"SELECT track_id, {_STRONGEST} AS strongest FROM ranked")
+def fusion_strongest(s: SparkSession, d: str) -> DataFrame:
+    return _flow(s, d).ranked.select("track_id", F.col("strongest_signal").alias("strongest"))
+
+
 _DIST = "0.5 * abs(w.energy - p.energy) + 0.3 / 60 * abs(w.tempo_bpm - p.tempo_bpm) + 0.2 * abs(w.brightness - p.brightness)"
 _STEPS = {"smooth": f"p.score - ({_DIST})", "contrast": f"p.score + ({_DIST})", "journey": f"p.score - abs(p.energy - round(0.3 + 0.6 * (w.pos + 1) / {LIMIT - 1}.0, 10))", "discovery": "p.score + 0.5 * p.novelty"}
 
@@ -250,16 +351,26 @@ def recommend_catalog(s: SparkSession, d: str) -> DataFrame:
     return _flow(s, d).playlist.select("position", "track_id", _r("sequence_score"))
 
 
+_PLAIN = "fused AS (SELECT *, own_novelty AS novelty, 0.18 * intent_score + 0.18 * energy_match + 0.05 * own_novelty AS score FROM scored)"
+
+
+@query(_walk("contrast", (X.TRACKS, CAND, SCORED, _PLAIN, RANKED)))
+def flow_end_to_end(s: SparkSession, d: str) -> DataFrame:
+    got = flows.end_to_end(catalog.candidates(X.tracks(s, d)), flows.Request(REQUEST, mode="contrast", limit=LIMIT))
+    return got.playlist.select("position", "track_id", _r("sequence_score"))
+
+
 # -- retrieval --------------------------------------------------------------------------------
 
 
 def _lexical_sql(variants: list[str], limit: int, name: str = "lex") -> str:
-    fields = [f for f in lexical.WEIGHTS if f in ("title", "artist", "album", "genre", "file_name")]
+    weights = {"title": 1.0, "artist": 0.85, "album": 0.75, "genre": 0.6, "file_name": 0.3}
+    fields = list(weights)
     toks = ", ".join(f"list_distinct(list_transform(regexp_extract_all({f}, '[\\p{{L}}\\p{{N}}_]+'), lambda x: lower(x))) AS t_{f}" for f in fields)
     parts = []
     for v in variants:
-        words = lexical.query_tokens(v)
-        score = " + ".join("greatest(" + ", ".join(f"CASE WHEN list_contains(t_{f}, '{w}') THEN {lexical.WEIGHTS[f]} ELSE 0 END" for f in fields) + ")" for w in words)
+        words = sorted(set(v.split()))
+        score = " + ".join("greatest(" + ", ".join(f"CASE WHEN list_contains(t_{f}, '{w}') THEN {weights[f]} ELSE 0 END" for f in fields) + ")" for w in words)
         hits = []
         for i, f in enumerate(fields):
             fresh = " OR ".join("(" + " AND ".join([f"list_contains(t_{f}, '{w}')", *(f"NOT list_contains(t_{g}, '{w}')" for g in fields[:i])]) + ")" for w in words)
@@ -281,9 +392,102 @@ def lexical_search(s: SparkSession, d: str) -> DataFrame:
     return _lexical_out(flows.SearchService(X.tracks(s, d)).search(LEXICAL, limit=LIMIT))
 
 
-@query(_with(X.TRACKS, _lexical_sql(lexical.expand_query(EXPANDED), LIMIT)) + _LEX_OUT)
+# a third of the tracks is a film's music by its album, another third an original soundtrack
+_ALBUMS = X.TRACKS.replace("p_type AS album", "CASE p_partkey % 3 WHEN 0 THEN 'Original Soundtrack' WHEN 1 THEN 'Film Music' ELSE p_type END AS album")
+
+
+def _albums(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("track_id").cast("long")
+    return X.tracks(s, d).withColumn("album", F.when(k % 3 == 0, "Original Soundtrack").when(k % 3 == 1, "Film Music").otherwise(F.col("album")))
+
+
+@query(_with(_ALBUMS, _lexical_sql(["small ost", "small soundtrack", "small original soundtrack"], 60)) + _LEX_OUT)
 def lexical_search_expanded(s: SparkSession, d: str) -> DataFrame:
-    return _lexical_out(lexical.search(X.tracks(s, d), EXPANDED, limit=LIMIT, expand=True))
+    return _lexical_out(lexical.search(_albums(s, d), "small  ost", limit=60, expand=True))
+
+
+# the vectors of FlagProvider for the texts, and their cosine with those of "small" (1, 0, .5)
+_FLAGS = f"""txt AS (SELECT track_id, title, artist, album, lower({TEXT}) AS t FROM tracks WHERE status = 'active'),
+ flag AS (SELECT *, CAST(contains(t, 'small') AS INT) AS a, CAST(contains(t, 'green') AS INT) AS b FROM txt),
+ live AS (SELECT track_id, title, artist, album, (a + 0.25) / (sqrt(1.25::DOUBLE) * sqrt(a + b + 0.25::DOUBLE)) AS score FROM flag)"""
+_BEST = "SELECT track_id, round(score, 6) + 0.0 AS score, title FROM live ORDER BY round(score, 9) DESC, track_id LIMIT {n}"
+_MEANT = "small"
+
+
+@query(_with(X.TRACKS, _FLAGS) + _BEST.format(n=LIMIT))
+def semantic_live(s: SparkSession, d: str) -> DataFrame:
+    return flows.SearchService(X.tracks(s, d)).semantic_search(_MEANT, X.FlagProvider(), limit=LIMIT).select("track_id", _r("score"), "title")
+
+
+_PROFILE = vectors.TextEmbeddingProfile("flags")
+
+
+def _indexed(s: SparkSession, d: str) -> tuple[flows.SearchService, str]:
+    """A semantic index of the whole catalog, built anew."""
+    service, path = flows.SearchService(X.tracks(s, d)), X.scratch(s)
+    service.rebuild_semantic_index(path, X.FlagProvider(), _PROFILE)
+    return service, path
+
+
+@query(_with(X.TRACKS, _FLAGS) + _BEST.format(n=40))
+def semantic_indexed(s: SparkSession, d: str) -> DataFrame:
+    service, path = _indexed(s, d)
+    return service.semantic_search_indexed(_MEANT, path, X.FlagProvider(), _PROFILE, limit=40).select("track_id", _r("score"), "title")
+
+
+@query(_with(X.TRACKS) + "SELECT count(*) AS stored, 3 AS dimension FROM tracks WHERE status = 'active'")
+def semantic_index_size(s: SparkSession, d: str) -> DataFrame:
+    facts = vectors.VectorIndex(s, _indexed(s, d)[1]).manifest()
+    return s.createDataFrame([(facts["count"], facts["dimension"])], "stored long, dimension int")
+
+
+def _live_hybrid(n: int) -> tuple[str, ...]:
+    scale = lambda t: f"CASE WHEN max({t}.score) OVER () = min({t}.score) OVER () THEN 1 ELSE ({t}.score - min({t}.score) OVER ()) / (max({t}.score) OVER () - min({t}.score) OVER ()) END"
+    return (X.TRACKS, _FLAGS, _lexical_sql([LEXICAL], n), f"sem AS (SELECT track_id, score FROM live2 ORDER BY round(score, 9) DESC, track_id LIMIT {n})",
+            f"""hyb AS (SELECT coalesce(a.track_id, b.track_id) AS track_id, 0.6 * coalesce(a.n, 0) + 0.4 * coalesce(b.n, 0) AS score
+  FROM (SELECT track_id, {scale('lex')} AS n FROM lex) a FULL JOIN (SELECT track_id, {scale('sem')} AS n FROM sem) b ON a.track_id = b.track_id)""")
+
+
+# the query "small green anodized" asks (1, 1, .5)
+_LIVE2 = "live2 AS (SELECT track_id, (a + b + 0.25) / (1.5 * sqrt(a + b + 0.25::DOUBLE)) AS score FROM flag)"
+_W = hybrid.HybridWeights(0.6, 0.4)
+
+
+def _fused_live(n: int) -> tuple[str, ...]:
+    tracks, flags, *rest = _live_hybrid(n)
+    return (tracks, flags, _LIVE2, *rest)
+
+
+@query(_with(*_fused_live(LIMIT)) + f"SELECT track_id, round(score, 6) + 0.0 AS score FROM hyb ORDER BY round(score, 9) DESC, track_id LIMIT {LIMIT}")
+def hybrid_live(s: SparkSession, d: str) -> DataFrame:
+    return flows.SearchService(X.tracks(s, d)).hybrid_search(LEXICAL, X.FlagProvider(), limit=LIMIT, weights=_W).select("track_id", _r("score"))
+
+
+@query(_with(*_fused_live(40)) + "SELECT track_id, round(score, 6) + 0.0 AS score FROM hyb ORDER BY round(score, 9) DESC, track_id LIMIT 40")
+def hybrid_indexed(s: SparkSession, d: str) -> DataFrame:
+    service, path = _indexed(s, d)
+    return service.hybrid_search_indexed(LEXICAL, path, X.FlagProvider(), _PROFILE, limit=40, weights=_W).select("track_id", _r("score"))
+
+
+def _retrieval(mode: str, parts: tuple[str, ...], table: str) -> None:
+    """Candidates of a retrieval mode: the ids survive with the catalog's own facts, the scores don't."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        extra = {"provider": X.FlagProvider()} if mode != "lexical" else {}
+        if mode.endswith("-indexed"):
+            extra |= {"profile": _PROFILE, "index_path": _indexed(s, d)[1]}
+        got = flows.retrieve(X.tracks(s, d), LEXICAL, mode, request_limit=10, retrieval_limit=70, weights=_W, **extra)
+        return got.select("track_id", "title", F.concat_ws(";", "genres").alias("genres"), _r("energy"), _r("metadata_score"))
+
+    run.__name__ = f"retrieve_{mode.replace('-', '_')}"
+    query(_with(*parts) + f"SELECT track_id, title, array_to_string({GENRES}, ';') AS genres, round(least(1, rms_energy), 6) + 0.0 AS energy, 0.0::DOUBLE AS metadata_score FROM tracks WHERE track_id IN (SELECT track_id FROM {table} ORDER BY round(score, 9) DESC, track_id LIMIT 70)")(run)
+
+
+_retrieval("lexical", (X.TRACKS, _lexical_sql([LEXICAL], 70)), "lex")
+for _name in ("semantic", "semantic-indexed"):
+    _retrieval(_name, (X.TRACKS, _FLAGS, _LIVE2), "live2")
+for _name in ("hybrid", "hybrid-indexed"):
+    _retrieval(_name, _fused_live(70), "hyb")
 
 
 _COS = f"q AS (SELECT v AS qv FROM vecs WHERE track_id = '{X.SEED}'), cos AS (SELECT track_id, list_cosine_similarity(v, qv) AS score FROM vecs, q)"
@@ -310,6 +514,26 @@ def learned_similar(s: SparkSession, d: str) -> DataFrame:
     return ranking.rank(rows, limit=LIMIT).select("track_id", _r("score"))
 
 
+@query(_with(X.VECTORS, _COS) + f"SELECT track_id, round(score, 6) + 0.0 AS score FROM cos WHERE track_id <> '{X.SEED}' ORDER BY round(score, 9) DESC, track_id LIMIT 40")
+def index_similar(s: SparkSession, d: str) -> DataFrame:
+    """The nearest to a stored vector, from an index written and verified."""
+    index = vectors.VectorIndex(s, X.scratch(s))
+    index.save(X.vectors(s, d))
+    return index.similar(X.SEED, limit=40).select("track_id", _r("score"))
+
+
+# the flow with learned similarity: the seed's own track is left out
+_WITH_LEARNED = f"fused AS (SELECT scored.*, own_novelty AS novelty, 0.18 * intent_score + 0.18 * energy_match + 0.05 * own_novelty + 0.36 * coalesce((c.score + 1) / 2, 0) AS score FROM scored LEFT JOIN cos c USING (track_id) WHERE track_id <> '{X.SEED}')"
+
+
+@query(_walk("smooth", (X.TRACKS, X.VECTORS, _COS, CAND, SCORED, _WITH_LEARNED, RANKED)))
+def flow_learned(s: SparkSession, d: str) -> DataFrame:
+    index = vectors.VectorIndex(s, X.scratch(s))
+    index.save(X.vectors(s, d))
+    got = flows.learned(catalog.candidates(X.tracks(s, d)), flows.Request(REQUEST, limit=LIMIT), similar=index.scores(X.SEED), seed=X.SEED)
+    return got.playlist.select("position", "track_id", _r("sequence_score"))
+
+
 _SEM = "sem AS (SELECT track_id, score FROM cos JOIN tracks USING (track_id) WHERE status = 'active' ORDER BY round(score, 9) DESC, track_id LIMIT {n})"
 
 
@@ -332,15 +556,18 @@ def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     return _hybrid(s, d, LIMIT).select("track_id", _r("score"), _r("lexical_normalized_score"), _r("semantic_normalized_score"))
 
 
-_H50 = _hybrid_parts(50)
+#: A request whose words are searched for, and which asks for energy .8 and discovery.
+_ASKED = "small green energetic discovery"
+
 
+def _asked_parts() -> tuple[str, ...]:
+    return tuple(p if not p.startswith("tok AS") else _lexical_sql([_ASKED], 50) for p in _fused_live(50))
 
-@query(_walk("journey", (*_H50, "ids AS (SELECT track_id FROM hyb ORDER BY round(score, 9) DESC, track_id LIMIT 50)", EV0, RECENT, _counters(IN_CONTEXT), CAND.replace("WHERE", "WHERE track_id IN (SELECT track_id FROM ids) AND"), SCORED, PERSONAL, FUSED, RANKED)))
+
+@query(_walk("journey", (*_asked_parts(), "ids AS (SELECT track_id FROM hyb ORDER BY round(score, 9) DESC, track_id LIMIT 50)", EV0, RECENT, _counters(IN_CONTEXT), CAND.replace("WHERE", "WHERE track_id IN (SELECT track_id FROM ids) AND"), SCORED.replace("0 + greatest", "greatest").replace("/ 3", "/ 2"), PERSONAL, FUSED, RANKED)))
 def recommend_hybrid(s: SparkSession, d: str) -> DataFrame:
-    ids = _hybrid(s, d, 50).select("track_id")
-    t = X.tracks(s, d)
-    found = catalog.adapt(catalog.active(t).join(F.broadcast(ids), "track_id", "left_semi"))
-    got = flows.context_aware(found, flows.Request(REQUEST, mode="journey", limit=LIMIT), events=E.recent(X.events(s, d)), context=CONTEXT, now=X.NOW)
+    """The whole service in hybrid mode; the request names what is looked for, an energy and something new."""
+    got = flows.recommend(X.tracks(s, d), X.events(s, d), flows.Request(_ASKED, mode="journey", limit=LIMIT), context=CONTEXT, now=X.NOW, mode="hybrid", provider=X.FlagProvider(), weights=_W)
     return got.playlist.select("position", "track_id", _r("sequence_score"))
 
 
@@ -369,31 +596,83 @@ def playlist_filter_keep(s: SparkSession, d: str) -> DataFrame:
     return P.filter_by_metadata(X.items(s, d), X.tracks(s, d), P.parse_edit("keep only in genre Small"))
 
 
-def _edit(name: str, commands: list[str], order: str) -> None:
-    """``order`` is the new position of an item in terms of its old one (p) and the number of items (n); null drops it."""
+def _edit(name: str, commands: list[str], order: str, least: int) -> None:
+    """``order`` is the new position of an item in terms of its old one (p) and the number of items (n); null drops it.
+
+    Playlists of fewer than ``least`` items lack a track that the command names: they stay as they are, with a fault.
+    """
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        rows = P.apply_edits(X.playlists(s, d).filter(F.size("items") >= 3), P.parse_edits(commands))
-        return P.exploded(rows, "playlist_id").select("playlist_id", F.col("position").cast("long").alias("position"), "track")
+        rows = P.apply_edits(X.playlists(s, d), P.parse_edits(commands), faults=True).withColumn("failed", F.col("fault").isNotNull())
+        return P.exploded(rows, "playlist_id", "failed").select("playlist_id", "failed", F.col("position").cast("long").alias("position"), "track")
 
     run.__name__ = f"playlist_edit_{name}"
-    sql = _with(X.ITEMS, "big AS (SELECT *, count(*) OVER (PARTITION BY playlist_id) AS n FROM items)")
-    query(sql + f"SELECT playlist_id, CAST({order} AS BIGINT) AS position, track_id AS track FROM (SELECT playlist_id, track_id, position AS p, n FROM big WHERE n >= 3) WHERE ({order}) IS NOT NULL")(run)
+    sql = _with(X.ITEMS, f"big AS (SELECT playlist_id, track_id, position AS p, count(*) OVER (PARTITION BY playlist_id) AS n FROM items), done AS (SELECT *, CASE WHEN n >= {least} THEN {order} ELSE p END AS q FROM big)")
+    query(sql + f"SELECT playlist_id, n < {least} AS failed, CAST(q AS BIGINT) AS position, track_id AS track FROM done WHERE q IS NOT NULL")(run)
 
 
-_edit("remove", ["remove p1"], "CASE WHEN p = 0 THEN 0 WHEN p > 1 THEN p - 1 END")
-_edit("move", ["move p2 to 1"], "CASE WHEN p = 2 THEN 0 WHEN p < 2 THEN p + 1 ELSE p END")
-_edit("before", ["move p2 before p1"], "CASE p WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE p END")
-_edit("after", ["move p0 after p2"], "CASE WHEN p = 0 THEN 2 WHEN p <= 2 THEN p - 1 ELSE p END")
-_edit("swap", ["swap p0 with p2"], "CASE p WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE p END")
-_edit("trim", ["keep the first 2 tracks"], "CASE WHEN p < 2 THEN p END")
+_edit("remove", ["remove p1"], "CASE WHEN p = 0 THEN 0 WHEN p > 1 THEN p - 1 END", 2)
+_edit("move", ["move p2 to 1"], "CASE WHEN p = 2 THEN 0 WHEN p < 2 THEN p + 1 ELSE p END", 3)
+_edit("before", ["move p2 before p1"], "CASE p WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE p END", 3)
+_edit("after", ["move p0 after p2"], "CASE WHEN p = 0 THEN 2 WHEN p <= 2 THEN p - 1 ELSE p END", 3)
+_edit("swap", ["swap p0 with p2"], "CASE p WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE p END", 3)
+_edit("trim", ["keep the first 2 tracks"], "CASE WHEN p < 2 THEN p END", 1)
 
 
-@query(_with(X.ITEMS, "big AS (SELECT *, count(*) OVER (PARTITION BY playlist_id) AS n FROM items)") + "SELECT playlist_id, track_id, position AS from_position, CASE WHEN position = 1 THEN NULL ELSE position - 1 END AS to_position FROM big WHERE n >= 3 AND position >= 1")
+@query(_with(X.ITEMS) + "SELECT playlist_id, track_id, position AS from_position, CASE WHEN position = 1 THEN NULL ELSE position - 1 END AS to_position FROM items WHERE position >= 1")
 def playlist_diff(s: SparkSession, d: str) -> DataFrame:
-    before = X.playlists(s, d).filter(F.size("items") >= 3)
+    before = X.playlists(s, d)
     flat = lambda df: P.exploded(df, "playlist_id").select("playlist_id", F.col("position").cast("long").alias("position"), F.col("track").alias("track_id"))
-    return P.diff(flat(before), flat(P.apply_edits(before, [P.Remove("p1")])), "playlist_id")
+    return P.diff(flat(before), flat(P.apply_edits(before, [P.Remove("p1")], faults=True)), "playlist_id")
+
+
+# the first six active tracks: the third goes to the front, those of one artist go, three stay
+_PLAN = """p0 AS (SELECT track_id, artist, row_number() OVER (ORDER BY track_id) AS n FROM (SELECT * FROM tracks WHERE status = 'active' ORDER BY track_id LIMIT 6)),
+ p1 AS (SELECT track_id, artist, CASE WHEN n = 3 THEN 1 WHEN n < 3 THEN n + 1 ELSE n END AS n FROM p0),
+ p2 AS (SELECT track_id, row_number() OVER (ORDER BY n) AS n FROM p1 WHERE lower(artist) <> (SELECT lower(artist) FROM p0 WHERE n = 2)),
+ p3 AS (SELECT * FROM p2 WHERE n <= 3)"""
+
+
+@query(_with(X.TRACKS, _PLAN) + "SELECT 1 AS step, n - 1 AS position, track_id FROM p1 UNION ALL SELECT 2, n - 1, track_id FROM p2 UNION ALL SELECT 3, n - 1, track_id FROM p3")
+def playlist_plan(s: SparkSession, d: str) -> DataFrame:
+    """The steps of commands on one playlist, names resolved against the catalog."""
+    t = X.tracks(s, d)
+    first = catalog.active(t).orderBy("track_id").limit(6).collect()
+    items = s.createDataFrame([(r["track_id"], n) for n, r in enumerate(first)], "track_id string, position int")
+    steps = P.plan_edits(items, t, [f"move track {first[2]['track_id']} to position 1", f"remove all tracks by {first[1]['artist']}", "keep first 3 tracks"])
+    rows = [(k, n, i) for k, step in enumerate(steps, 1) for n, i in enumerate(step.after)]
+    return s.createDataFrame(rows, "step int, position long, track_id string")
+
+
+@query(_with(X.TRACKS, X.ITEMS) + "SELECT playlist_id, row_number() OVER (PARTITION BY playlist_id ORDER BY position) - 1 AS position, CASE WHEN status = 'active' THEN track_id END AS track_id, CASE WHEN status <> 'active' THEN 'not an active track' END AS fault FROM items JOIN tracks USING (track_id)")
+def m3u8_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Every playlist written as a document and read again; tracks no longer in use are faults."""
+    t = X.tracks(s, d)
+    docs = playlist_files.to_m3u8(X.items(s, d).join(t.select("track_id"), "track_id", "left_semi"), t, "playlist_id")
+    got = playlist_files.import_rows(docs.select(F.col("playlist_id").cast("string").alias("path"), F.col("m3u8").alias("value")), t)
+    return got.select(F.col("path").cast("long").alias("playlist_id"), F.col("position").cast("long").alias("position"), "track_id", "fault")
+
+
+@query(_with(X.ITEMS) + "SELECT 'Mix ' || playlist_id AS name, position, track_id, round(1.0::DOUBLE / (1 + position), 6) AS sequence_score, 0.5::DOUBLE AS base_score, NULL AS fault FROM items")
+def json_round_trip(s: SparkSession, d: str) -> DataFrame:
+    docs = playlist_files.json_documents(X.stored_playlists(s, d))
+    got = playlist_files.json_rows(docs.select(F.col("name_key").alias("path"), "value"))
+    rows = got.select("name", "fault", F.explode("items").alias("i"))
+    return rows.select("name", (F.col("i.position") - 1).cast("long").alias("position"), "i.track_id", _r("i.sequence_score"), "i.base_score", "fault")
+
+
+@query(_with(X.ITEMS) + "SELECT CASE playlist_id WHEN 2 THEN 'Renamed' ELSE 'Mix ' || playlist_id END AS name, count(*) AS n, string_agg(track_id, ',' ORDER BY position) AS tracks FROM items WHERE playlist_id <> 3 GROUP BY playlist_id")
+def store_playlists(s: SparkSession, d: str) -> DataFrame:
+    """All playlists in a store, of which one is renamed, one deleted and one saved again."""
+    store = Store(s, X.scratch(s))
+    store.replace("playlists", X.stored_playlists(s, d))
+    store.rename("MIX  2", "Renamed", now=X.NOW)
+    store.delete("mix 3")
+    kept = store.get("mix 1")
+    if kept is not None:
+        store.save("Mix 1", [(i["track_id"], 1.0, 1.0) for i in kept[1]], now=X.NOW)
+    ids = F.transform("items", lambda x: x["track_id"])
+    return store.list().select("name", F.size("items").cast("long").alias("n"), F.array_join(ids, ",").alias("tracks"))
 
 
 @query(_with(X.TRACKS, X.ITEMS, "act AS (SELECT * FROM tracks WHERE status = 'active' AND track_id IN (SELECT track_id FROM items))") + "SELECT key, string_agg(track_id, ',' ORDER BY track_id) AS track_ids FROM (SELECT lower(title) AS key, track_id FROM act UNION SELECT lower(file_name), track_id FROM act) GROUP BY key")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -96,3 +98,51 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 
 JUDGED = """judg AS (SELECT doc_id % 20 AS query_id, doc_id, 2 * quality + 1 - toxic AS grade FROM labels),
  res AS (SELECT doc_id % 20 AS query_id, doc_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id * 7919 % 10007, doc_id) AS rank FROM documents)"""
+
+
+class FlagProvider:
+    """Text vectors of three numbers: whether a text holds each of two words, and a half."""
+
+    words = ("small", "green")
+
+    def embed_documents(self, texts: list[str]) -> list:
+        return [[*(float(w in t.lower()) for w in self.words), 0.5] for t in texts]
+
+    def embed_query(self, text: str) -> list:
+        return self.embed_documents([text])[0]
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see, for what a query has to store."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/cadenza-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def described(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks with moods, voices, vectors in JSON and the other numbers of an analysis."""
+    k = F.col("track_id").cast("long")
+    numbers = lambda n, m: F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: ((k + i * i) % m).cast("string")), ","), F.lit("]"))
+    moods = F.when(k % 3 == 0, F.array(F.lit("dark"))).when(k % 3 == 1, F.array(F.lit("happy"), F.lit("sad"))).otherwise(F.array().cast("array<string>"))
+    return tracks(spark, sf).withColumns(
+        {
+            "moods": moods,
+            "vocal_preference": F.when(k % 4 == 0, "vocal").when(k % 4 == 1, "instrumental").otherwise("any"),
+            "mfcc_json": F.when(k % 5 == 0, "broken").otherwise(numbers(13, 7)),
+            "chroma_json": numbers(12, 5),
+            "spectral_bandwidth": (k % 900).cast("double"),
+            "spectral_rolloff": (k % 700).cast("double"),
+            "zero_crossing_rate": (k % 10) / F.lit(10.0),
+        }
+    )
+
+
+def stored_playlists(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as a stored playlist, with scores by place."""
+    item = F.struct(F.col("position").cast("int").alias("position"), "track_id", (1 / (1 + F.col("position"))).alias("sequence_score"), F.lit(0.5).alias("base_score"))
+    rows = items(spark, sf).groupBy("playlist_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    name = F.concat(F.lit("Mix "), F.col("playlist_id").cast("string"))
+    return rows.select(name.alias("name"), F.lower(name).alias("name_key"), F.lit(NOW).alias("created_at"), F.lit(NOW).alias("updated_at"), "items")
