@@ -7,9 +7,8 @@ length), and only windows repeated at the target length remove words.
 The first level looks at one window in about fourteen: inside every run of target
 length the window with the least hash stands for it.  Equal runs have equal
 least windows, so a run whose least window occurs once cannot repeat, and nothing
-is lost.  The word hashes of the runs left are written down.  Each further level
-looks at every window of its length inside them, and drops the runs that hold a window
-without a twin, until no run is left or the target length is reached.
+is lost.  Each further level looks at every window of its length inside the runs left,
+and drops the runs that hold a window without a twin.
 
 How it is distributed
 ---------------------
@@ -17,9 +16,8 @@ Documents are dealt to chunks by a hash of the row.  A chunk sends each distinct
 hash once, packed by hash range with a flag for "twice in this chunk", so a
 passage shared by a third of all documents costs one entry a chunk and no task
 gets more of it.  The tasks that own a range of hashes send back bitmaps, never
-positions or texts.  Texts are read for the first level, to write down the runs
-left, and to remove words; the levels between read word hashes of runs alone.  The
-exchange that deals the texts is the same each time and Spark reuses it.
+positions or texts.  The exchange that deals the texts is the same in each level
+and Spark reuses it.
 
 Defined results
 ---------------
@@ -40,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.llm.frames import hidden_fields, hide, place, restored, take
-from cadenza.llm.storage import cut, parallelism
+from cadenza.llm.storage import parallelism
 from cadenza.llm.words import Words, sliding_min, window_hashes, words_of
 
 TARGET = 35
@@ -49,6 +47,7 @@ CHUNK_BYTES = 6_000_000
 RANGE_BYTES = 8_000_000
 #: Bytes of packed hashes that a byte of text makes at most, at the first level and at later ones.
 _SHARE = 0.4
+_LEAST_RANGES = 16
 
 
 def lengths(start: int, target: int) -> list[int]:
@@ -67,32 +66,45 @@ def _inside(w: Words, length: int) -> np.ndarray:
     return (np.arange(n) + length) <= w.stop()[:n]
 
 
-def _first_level(w: Words, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of target length, by first word, and the least hash of a window of the first length in each."""
-    runs = np.flatnonzero(_inside(w, steps[-1]))
-    if not len(runs):
-        return runs, np.zeros(0, np.uint64)
-    return runs, sliding_min(window_hashes(w.hash, steps[0]), steps[-1] - steps[0] + 1)[runs]
-
-
-def _next_level(hashes: np.ndarray, runs: np.ndarray, length: int, target: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows of a length inside runs."""
-    seen = np.unique(_candidates(runs, length, target)) if length < target else runs
-    return seen, window_hashes(hashes, length)[seen]
+def _level(w: Words, steps: list[int], level: int, flags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the windows to look at, given the repeated ones of each level before.
 
-
-def _left(hashes: np.ndarray, runs: np.ndarray, length: int, target: int, flags: np.ndarray) -> np.ndarray:
-    """The runs whose windows of that length are all repeated; ``flags`` is of their sorted distinct hashes."""
+    ``flags[i]`` says of level i's sorted distinct hashes which are repeated.
+    """
+    target = steps[-1]
+    inside = _inside(w, target)
+    runs = np.flatnonzero(inside)  # windows of target length, by first word
     if not len(runs):
-        return runs
-    seen, h = _next_level(hashes, runs, length, target)
-    ok = np.zeros(len(hashes), bool)
-    ok[seen] = flags[np.searchsorted(np.unique(h), h)]
-    return runs[_all_ok(ok, runs, target - length + 1)]
-
-
-def _candidates(runs: np.ndarray, length: int, target: int) -> np.ndarray:
-    return (runs[:, None] + np.arange(target - length + 1)).ravel()
+        return runs, np.zeros(0, np.uint64)
+    base = window_hashes(w.hash, steps[0])
+    width = target - steps[0] + 1
+    least = sliding_min(base, width)[runs]
+    if level == 0:
+        # the hash is all that counts at this level: one entry for each least window of each run
+        return runs, least
+    alive = flags[0][np.searchsorted(np.unique(least), least)]
+    runs = runs[alive]
+    for i in range(1, level):
+        # each window of this length inside the run has to be repeated
+        h = window_hashes(w.hash, steps[i])
+        seen = _inside_runs(len(h), runs, steps[i], target)
+        known = np.unique(h[seen])
+        ok = np.zeros(len(h), bool)
+        ok[seen] = flags[i][np.searchsorted(known, h[seen])]
+        runs = runs[_all_ok(ok, runs, target - steps[i] + 1)]
+    if steps[level] == target:
+        return runs, window_hashes(w.hash, target)[runs]
+    h = window_hashes(w.hash, steps[level])
+    seen = _inside_runs(len(h), runs, steps[level], target)
+    return seen, h[seen]
+
+
+def _inside_runs(windows: int, runs: np.ndarray, length: int, target: int) -> np.ndarray:
+    """The windows of a length that lie in a run, marked in one pass however the runs overlap."""
+    edge = np.zeros(windows + 1, np.int32)
+    np.add.at(edge, runs, 1)
+    np.add.at(edge, runs + (target - length + 1), -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
 
 
 def _all_ok(ok: np.ndarray, runs: np.ndarray, width: int) -> np.ndarray:
@@ -109,15 +121,17 @@ def _ordered(table: pa.Table, text: str) -> pa.Table:
     return table.take(pa.array(order))
 
 
-def _flags(marks: pa.Table) -> np.ndarray:
-    """The bits that the ranges sent back, in the order of the hashes."""
-    rows = sorted(zip(*(marks[c].to_pylist() for c in ("_range", "_n", "_bits")), strict=True))
-    return np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, n, b in rows]).astype(bool) if rows else np.zeros(0, bool)
+def _unpack(marks: pa.Table, levels: int) -> list[np.ndarray]:
+    out = []
+    rows = sorted(zip(*(marks[c].to_pylist() for c in ("_level", "_range", "_n", "_bits")), strict=True))
+    for level in range(levels):
+        parts = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for at, _, n, b in rows if at == level]
+        out.append(np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool))
+    return out
 
 
 _SENT = "_range long, _chunk long, _hashes binary, _twice binary"
-_MARKS = "_chunk long, _range long, _n long, _bits binary"
-_RUNS = "_chunk long, _hashes binary, _runs binary, _places binary"
+_MARKS = "_chunk long, _range long, _level int, _n long, _bits binary"
 
 
 def _packed(chunk: int, hashes: np.ndarray, ranges: int) -> pa.Table:
@@ -137,43 +151,32 @@ def _packed(chunk: int, hashes: np.ndarray, ranges: int) -> pa.Table:
     )
 
 
-def _marks(table: pa.Table) -> pa.Table:
-    """Which hashes of one range occur twice or more, for each chunk that sent some."""
-    sent = [np.frombuffer(b, np.uint64) for b in table["_hashes"].to_pylist()]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(h)) for b, h in zip(table["_twice"].to_pylist(), sent, strict=True)])
-    sizes = [len(h) for h in sent]
-    values, place, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-    repeated = counts > 1
-    repeated[place[twice == 1]] = True
-    bits = np.split(repeated[place], np.cumsum(sizes)[:-1])
-    return pa.table(
-        {
-            "_chunk": table["_chunk"],
-            "_range": table["_range"],
-            "_n": pa.array(sizes, pa.int64()),
-            "_bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary()),
-        }
-    )
-
-
-def _run_table(chunk: int, hashes: np.ndarray, runs: np.ndarray, places: np.ndarray, target: int) -> pa.Table:
-    """One row for a chunk's runs (none for no run): the hashes of their words put together, where runs start there, and each such word's place in the chunk."""
-    if not len(runs):
-        return pa.table({"_chunk": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("_hashes", "_runs", "_places")}})
-    inside = _cover(len(hashes), runs, target)
-    at = np.cumsum(inside) - 1
-    columns = (hashes[inside], at[runs].astype(np.int64), places[inside].astype(np.int64))
-    return pa.table({"_chunk": pa.array([chunk], pa.int64()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in zip(("_hashes", "_runs", "_places"), columns, strict=True)}})
-
-
-def _run_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kinds = (("_hashes", np.uint64), ("_runs", np.int64), ("_places", np.int64))
-    return tuple(np.frombuffer(table[c][0].as_py(), k) if len(table) else np.zeros(0, k) for c, k in kinds)
-
-
-def _cover(words: int, runs: np.ndarray, target: int) -> np.ndarray:
-    """A flag for each word: whether one of the runs covers it."""
-    edge = np.zeros(words + 1, np.int64)
+def _marker(level: int):
+    def marks(table: pa.Table) -> pa.Table:
+        """Which hashes of one range occur twice or more, for each chunk that sent some."""
+        sent = [np.frombuffer(b, np.uint64) for b in table["_hashes"].to_pylist()]
+        twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(h)) for b, h in zip(table["_twice"].to_pylist(), sent, strict=True)])
+        sizes = [len(h) for h in sent]
+        values, place, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        repeated = counts > 1
+        repeated[place[twice == 1]] = True
+        bits = np.split(repeated[place], np.cumsum(sizes)[:-1])
+        return pa.table(
+            {
+                "_chunk": table["_chunk"],
+                "_range": table["_range"],
+                "_level": pa.array([level] * len(sent), pa.int32()),
+                "_n": pa.array(sizes, pa.int64()),
+                "_bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary()),
+            }
+        )
+
+    return marks
+
+
+def repeated_spans(w: Words, runs: np.ndarray, target: int) -> np.ndarray:
+    """A flag for each word: whether one of the repeated windows covers it."""
+    edge = np.zeros(len(w.hash) + 1, np.int64)
     np.add.at(edge, runs, 1)
     np.add.at(edge, runs + target, -1)
     return np.cumsum(edge)[:-1] > 0
@@ -191,43 +194,35 @@ def substring_dedup(docs: DataFrame, *, target: int = TARGET, start: int = START
     own = hide(docs)
     size = own.select(F.sum(F.octet_length(text))).head()[0] or 0
     chunks = max(parts, -(-int(size) // CHUNK_BYTES))
-    ranges = max(parts, -(-int(size * _SHARE) // RANGE_BYTES), 2)
+    # ranges follow the data alone: every chunk sends a row to each
+    ranges = max(_LEAST_RANGES, -(-int(size * _SHARE) // RANGE_BYTES))
     dealt = own.select(F.xxhash64(doc_id, text).alias("_key"), F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).alias("_chunk"), "*").repartition(chunks, "_chunk")
 
     def send_first(key: tuple, table: pa.Table) -> pa.Table:
         w = words_of(_ordered(table, text)[text].to_pylist())
-        runs, least = _first_level(w, steps)
+        runs, least = _level(w, steps, 0, [])
         # neighbouring runs with the same least window stand for one occurrence of it
         base = window_hashes(w.hash, steps[0])
         least = base[np.unique(_places(base, runs, least, target - steps[0] + 1))]
         return _packed(key[0].as_py(), least, ranges)
 
-    def write_down(key: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
-        w = words_of(_ordered(table, text)[text].to_pylist())
-        runs, least = _first_level(w, steps)
-        if len(runs):
-            runs = runs[_flags(marks)[np.searchsorted(np.unique(least), least)]]
-        return _run_table(key[0].as_py() or 0, w.hash, runs, np.arange(len(w.hash)), target)
-
-    def send(length: int):
-        def f(key: tuple, table: pa.Table) -> pa.Table:
-            hashes, runs, _ = _run_arrays(table)
-            return _packed(key[0].as_py(), _next_level(hashes, runs, length, target)[1], ranges)
-
-        return f
-
-    def shrink(length: int):
+    def send(level: int):
         def f(key: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
-            hashes, runs, places = _run_arrays(table)
-            return _run_table(key[0].as_py() or 0, hashes, _left(hashes, runs, length, target, _flags(marks)), places, target)
+            h = np.zeros(0, np.uint64)
+            if len(table):
+                w = words_of(_ordered(table, text)[text].to_pylist())
+                h = _level(w, steps, level, _unpack(marks, level))[1]
+            return _packed(key[0].as_py() or 0, h, ranges)
 
         return f
 
-    def finish(table: pa.Table, left: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
         table = _ordered(table, text)
         w = words_of(table[text].to_pylist())
-        gone = np.zeros(len(w.hash), bool)
-        gone[_run_arrays(left)[2]] = True
+        flags = _unpack(marks, len(steps))
+        runs, h = _level(w, steps, len(steps) - 1, flags)
+        runs = runs[flags[-1][np.searchsorted(np.unique(h), h)]] if len(h) else runs
+        gone = repeated_spans(w, runs, target)
         kept, spans, removed = [], [], []
         for t, a, b in zip(table[text].to_pylist(), w.first[:-1], w.first[1:], strict=True):
             flag = gone[a:b]
@@ -240,15 +235,12 @@ def substring_dedup(docs: DataFrame, *, target: int = TARGET, start: int = START
         own[text] = pa.array(kept, pa.string())
         return pa.table(own | {"_n_words": pa.array(w.counts, pa.int64()), "_n_removed": pa.array(removed, pa.int64()), "_spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))})
 
-    marks = dealt.groupBy("_chunk").applyInArrow(send_first, _SENT).groupBy("_range").applyInArrow(_marks, _MARKS)
-    left = cut(dealt.groupBy("_chunk").cogroup(marks.groupBy("_chunk")).applyInArrow(write_down, _RUNS))
-    for length in steps[1:]:
-        if left.isEmpty():
-            break
-        marks = left.groupBy("_chunk").applyInArrow(send(length), _SENT).groupBy("_range").applyInArrow(_marks, _MARKS)
-        left = cut(left.groupBy("_chunk").cogroup(marks.groupBy("_chunk")).applyInArrow(shrink(length), _RUNS))
+    marks = dealt.groupBy("_chunk").applyInArrow(send_first, _SENT).groupBy("_range").applyInArrow(_marker(0), _MARKS)
+    for level in range(1, len(steps)):
+        sent = dealt.groupBy("_chunk").cogroup(marks.groupBy("_chunk")).applyInArrow(send(level), _SENT)
+        marks = marks.unionByName(sent.groupBy("_range").applyInArrow(_marker(level), _MARKS))
     schema = T.StructType([*hidden_fields(docs), T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType())))])
-    done = dealt.groupBy("_chunk").cogroup(left.groupBy("_chunk")).applyInArrow(finish, schema)
+    done = dealt.groupBy("_chunk").cogroup(marks.groupBy("_chunk")).applyInArrow(finish, schema)
     return restored(done, docs, add={k: F.col(f"_{k}") for k in ("n_words", "n_removed", "spans")})
 
 
