@@ -279,10 +279,14 @@ def cover(has: np.ndarray, toxic: np.ndarray, certain: np.ndarray) -> list[int]:
     """
     chosen: list[int] = []
     sizes = has.sum(0)
-    for i in np.flatnonzero(certain):
-        both = (has[:, chosen] & has[:, i, None]).sum(0)
-        if not (both > SAME * np.maximum(sizes[chosen], sizes[i])).any():
-            chosen.append(int(i))
+    sure = np.flatnonzero(certain)
+    held = has[has.any(1)][:, sure].astype(np.float32)
+    together = held.T @ held
+    kept: list[int] = []
+    for i, column in enumerate(sure):
+        if not (together[i, kept] > SAME * np.maximum(sizes[sure[kept]], sizes[column])).any():
+            kept.append(i)
+    chosen += sure[kept].tolist()
     open_ = ~has[:, chosen].any(1)
     while len(chosen) < has.shape[1]:
         n, p = has[open_].sum(0).astype(float), has[open_ & toxic].sum(0).astype(float)
