@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from cadenza.llm.frames import hidden_fields, hide, place, restored, take
 from cadenza.llm.storage import parallelism
-from cadenza.llm.words import Words, sliding_min, window_hashes, words_of
+from cadenza.llm.words import Words, sliding_max, sliding_min, window_hashes, words_of
 
 TARGET = 35
 START = 9
@@ -48,6 +48,7 @@ RANGE_BYTES = 8_000_000
 #: Bytes of packed hashes that a byte of text makes at most, at the first level and at later ones.
 _SHARE = 0.4
 _LEAST_RANGES = 16
+_NONE = np.uint64((1 << 64) - 1)
 
 
 def lengths(start: int, target: int) -> list[int]:
@@ -66,24 +67,34 @@ def _inside(w: Words, length: int) -> np.ndarray:
     return (np.arange(n) + length) <= w.stop()[:n]
 
 
+def _least(w: Words, start: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of target length by first word, their least window's hash, the windows that are least in some run, and all windows' hashes."""
+    runs = np.flatnonzero(_inside(w, target))
+    base = np.maximum(window_hashes(w.hash, start), 1)  # 0 stands for no run below
+    width = target - start + 1
+    least = sliding_min(base, width)[runs]
+    # a window is least in some run if the greatest minimum of the runs that hold it is its own hash
+    held = np.zeros(len(base) + width - 1, np.uint64)
+    held[runs + (width - 1)] = least
+    return runs, least, np.flatnonzero(sliding_max(held, width) == base), base
+
+
 def _level(w: Words, steps: list[int], level: int, flags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the windows to look at, given the repeated ones of each level before.
 
     ``flags[i]`` says of level i's sorted distinct hashes which are repeated.
     """
     target = steps[-1]
-    inside = _inside(w, target)
-    runs = np.flatnonzero(inside)  # windows of target length, by first word
-    if not len(runs):
-        return runs, np.zeros(0, np.uint64)
-    base = window_hashes(w.hash, steps[0])
-    width = target - steps[0] + 1
-    least = sliding_min(base, width)[runs]
-    if level == 0:
-        # the hash is all that counts at this level: one entry for each least window of each run
-        return runs, least
-    alive = flags[0][np.searchsorted(np.unique(least), least)]
-    runs = runs[alive]
+    runs, least, spots, base = _least(w, steps[0], target)
+    if level == 0 or not len(runs):
+        # neighbouring runs with the same least window stand for one occurrence of it
+        return spots, base[spots]
+    hashes = base[spots]
+    spots = spots[flags[0][np.searchsorted(np.unique(hashes), hashes)]]
+    # a run is alive if its least window is repeated: no hash in it lies below that of its least repeated window
+    twin = np.full(len(base), _NONE)
+    twin[spots] = base[spots]
+    runs = runs[sliding_min(twin, target - steps[0] + 1)[runs] == least]
     for i in range(1, level):
         # each window of this length inside the run has to be repeated
         h = window_hashes(w.hash, steps[i])
@@ -92,10 +103,8 @@ def _level(w: Words, steps: list[int], level: int, flags: list[np.ndarray]) -> t
         ok = np.zeros(len(h), bool)
         ok[seen] = flags[i][np.searchsorted(known, h[seen])]
         runs = runs[_all_ok(ok, runs, target - steps[i] + 1)]
-    if steps[level] == target:
-        return runs, window_hashes(w.hash, target)[runs]
     h = window_hashes(w.hash, steps[level])
-    seen = _inside_runs(len(h), runs, steps[level], target)
+    seen = runs if steps[level] == target else _inside_runs(len(h), runs, steps[level], target)
     return seen, h[seen]
 
 
@@ -200,11 +209,7 @@ def substring_dedup(docs: DataFrame, *, target: int = TARGET, start: int = START
 
     def send_first(key: tuple, table: pa.Table) -> pa.Table:
         w = words_of(_ordered(table, text)[text].to_pylist())
-        runs, least = _level(w, steps, 0, [])
-        # neighbouring runs with the same least window stand for one occurrence of it
-        base = window_hashes(w.hash, steps[0])
-        least = base[np.unique(_places(base, runs, least, target - steps[0] + 1))]
-        return _packed(key[0].as_py(), least, ranges)
+        return _packed(key[0].as_py(), _level(w, steps, 0, [])[1], ranges)
 
     def send(level: int):
         def f(key: tuple, table: pa.Table, marks: pa.Table) -> pa.Table:
@@ -244,17 +249,6 @@ def substring_dedup(docs: DataFrame, *, target: int = TARGET, start: int = START
     return restored(done, docs, add={k: F.col(f"_{k}") for k in ("n_words", "n_removed", "spans")})
 
 
-def _places(base: np.ndarray, runs: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
-    """Where in each run its least window starts (the first such place)."""
-    where = np.zeros(len(runs), np.int64)
-    # blocks bound the scratch matrix
-    for a in range(0, len(runs), 1 << 16):
-        r = runs[a : a + (1 << 16)]
-        hit = base[r[:, None] + np.arange(width)] == least[a : a + (1 << 16), None]
-        where[a : a + (1 << 16)] = r + hit.argmax(axis=1)
-    return where
-
-
 def digest(result: DataFrame) -> DataFrame:
     """The contract's columns of a result of :func:`substring_dedup`."""
     return take(result, "doc_id", "n_words", "n_removed", "text").select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

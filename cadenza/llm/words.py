@@ -109,11 +109,20 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum over each run of ``width`` values, by doubling."""
+    return _sliding(np.minimum, values, width)
+
+
+def sliding_max(values: np.ndarray, width: int) -> np.ndarray:
+    """Maximum over each run of ``width`` values, by doubling."""
+    return _sliding(np.maximum, values, width)
+
+
+def _sliding(better: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     now, size = values, 1
     if len(values) < width:
         return values[:0]
     while size * 2 <= width:
-        now = np.minimum(now[:-size], now[size:])
+        now = better(now[:-size], now[size:])
         size *= 2
     rest = width - size
-    return np.minimum(now[: len(now) - rest], now[rest:]) if rest else now
+    return better(now[: len(now) - rest], now[rest:]) if rest else now

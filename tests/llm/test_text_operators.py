@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from cadenza.llm import bpe, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup
 from cadenza.llm.frames import take
-from cadenza.llm.words import sliding_min, window_hashes, words_of
+from cadenza.llm.words import sliding_max, sliding_min, window_hashes, words_of
 from tokenizers import Tokenizer
 
 from .conftest import words
@@ -35,6 +35,7 @@ def test_words_and_windows():
     x = np.random.default_rng(0).random(50)
     for k in (1, 2, 5, 18):
         assert (sliding_min(x, k) == [x[i : i + k].min() for i in range(51 - k)]).all()
+        assert (sliding_max(x, k) == [x[i : i + k].max() for i in range(51 - k)]).all()
 
 
 def test_quality_rules(spark, messy, none):
@@ -318,6 +319,15 @@ def test_substring_dedup(spark, messy, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_least_windows_of_runs():
+    r = np.random.default_rng(4)
+    w = words_of([" ".join(map(str, r.integers(0, 60, n))) for n in (200, 3, 0, 35, 36, 34, 500)])
+    runs, least, spots, base = substring_dedup._least(w, 9, 35)
+    assert runs.tolist() == [i for a, b in zip(w.first[:-1], w.first[1:], strict=True) for i in range(a, b - 34)]
+    assert least.tolist() == [base[i : i + 27].min() for i in runs]
+    assert spots.tolist() == sorted({i + k for i in runs for k in range(27) if base[i + k] == base[i : i + 27].min()})
+
+
 def test_substring_levels():
     assert substring_dedup.lengths(5, 35) == [5, 10, 20, 35]
     assert substring_dedup.lengths(substring_dedup.START, substring_dedup.TARGET) == [9, 18, 35]
