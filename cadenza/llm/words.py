@@ -2,17 +2,18 @@
 
 A word is a maximal run of bytes other than ``[\\x20\\x09-\\x0D]``.  Hashes are 64
 bit, the same in every process, and computed by array operations over a whole
-block, so no Python object is made for a word.
+block; only words over 64 bytes become Python objects.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
 _U = np.uint64
-_SLICE = 1 << 20
+_LONG = 64
 _BASE = _U(0x9E3779B97F4A7C15)
 _STEP = _U(0xD1342543DE82EF95)
 
@@ -24,7 +25,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=_U) * _BASE)
+#: By number of bytes (0 to 8): the bits of a little-endian number that they take.
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], _U)
 
 
 def _power(base: np.uint64, n: int) -> np.uint64:
@@ -56,41 +58,30 @@ def words_of(texts: list[str | None]) -> Words:
     blob = b"\n".join(parts)
     raw = np.frombuffer(blob, np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    outside = np.concatenate([[True], space, [True]])
+    turns = np.flatnonzero(outside[1:] != outside[:-1])  # words begin and end in turn
+    start, end = turns[::2], turns[1::2]
     offsets = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]) if parts else np.zeros(1)
     first = np.searchsorted(start, offsets[: len(parts) + 1]).astype(np.int64)
     if len(parts):
         first[-1] = len(start)
-    return Words(blob, start, end, _hashes(raw, start, end), first)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_CACHE["up"]) < n:
-        for name, base in (("up", int(_STEP)), ("down", pow(int(_STEP), -1, 1 << 64))):
-            row = np.full(n, _U(base))
-            row[0] = 1
-            _CACHE[name] = np.cumprod(row, dtype=_U)
-    return _CACHE["up"], _CACHE["down"]
-
-
-_CACHE = {"up": np.zeros(0, _U), "down": np.zeros(0, _U)}
-
-
-def _hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomials of byte values, as differences of running sums divided by the power at the word's start."""
-    out = np.empty(len(start), _U)
-    at = 0
-    while at < len(start):  # slices bound the scratch arrays whatever the block's size
-        low = start[at]
-        to = max(at + 1, int(np.searchsorted(end, low + _SLICE, "right")))
-        high = end[to - 1]
-        up, down = _powers(max(_SLICE, int(high - low)) + 1)
-        sums = np.zeros(high - low + 1, _U)
-        np.cumsum(_TABLE[raw[low:high]] * up[: high - low], out=sums[1:])
-        out[at:to] = (sums[end[at:to] - low] - sums[start[at:to] - low]) * down[start[at:to] - low]
-        at = to
-    return mix(out + (end - start).astype(_U) * _BASE)
+    return Words(blob, start, end, _hashes(blob, start, end), first)
+
+
+def _hashes(blob: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words are read eight bytes at a time, all words together; the few longer than ``_LONG`` bytes by blake2b."""
+    # every byte offset as the start of a little-endian number; eight bytes more keep the last ones inside
+    padded = np.frombuffer(blob + bytes(8), np.uint8)
+    at = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(blob) + 1,), (1,))
+    size = end - start
+    out = mix((at[start] & _MASKS[np.minimum(size, 8)]) + size.astype(_U) * _BASE)
+    for done in range(8, _LONG, 8):
+        more = np.flatnonzero(size > done)
+        block = at[start[more] + done] & _MASKS[np.minimum(size[more] - done, 8)]
+        out[more] = mix(out[more] * _STEP + block)
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(blake2b(blob[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:

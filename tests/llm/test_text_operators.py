@@ -32,6 +32,11 @@ def test_words_and_windows():
     assert w.counts.tolist() == [3, 0, 0, 5]
     assert w.hash[0] == w.hash[5] and len(set(w.hash.tolist())) == 5
     assert window_hashes(w.hash, 3)[0] == window_hashes(w.hash, 3)[5]
+    # equal words have equal hashes wherever they stand, others differ: lengths around eight bytes and the long ones
+    tail = [c * n + e for n in range(200) for c in "aä" for e in ("", "b")]
+    many = words_of([" ".join(tail[4:]), None, "\n" + "\t".join(reversed(tail[4:]))])
+    one, two = many.hash[: many.counts[0]], many.hash[many.counts[0] :][::-1]
+    assert one.tolist() == two.tolist() and len(set(one.tolist())) == len(set(tail[4:]))
     x = np.random.default_rng(0).random(50)
     for k in (1, 2, 5, 18):
         assert (sliding_min(x, k) == [x[i : i + k].min() for i in range(51 - k)]).all()
