@@ -13,6 +13,7 @@ from cadenza.functions import scalars as S
 from cadenza.operators import catalog, evaluation, hybrid, intent, lexical, preference, ranking, vectors
 from cadenza.operators import events as E
 from cadenza.operators import playlists as P
+from cadenza.operators.dealing import look_up
 from cadenza.plans import flows
 from cadenza.schemas import EVENT_TYPES, SIGNALS
 from cadenza.sources import ingest, playlist_files
@@ -648,7 +649,7 @@ def playlist_plan(s: SparkSession, d: str) -> DataFrame:
 def m3u8_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Every playlist written as a document and read again; tracks no longer in use are faults."""
     t = X.tracks(s, d)
-    docs = playlist_files.to_m3u8(X.items(s, d).join(t.select("track_id"), "track_id", "left_semi"), t, "playlist_id")
+    docs = playlist_files.to_m3u8(look_up(X.items(s, d), t.select("track_id"), "track_id", "left_semi"), t, "playlist_id")
     got = playlist_files.import_rows(docs.select(F.col("playlist_id").cast("string").alias("path"), F.col("m3u8").alias("value")), t)
     return got.select(F.col("path").cast("long").alias("playlist_id"), F.col("position").cast("long").alias("position"), "track_id", "fault")
 

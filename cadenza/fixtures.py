@@ -9,6 +9,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.dealing import parts
+
 NOW = datetime(2024, 2, 1, tzinfo=UTC)
 SEED = "00000000"
 
@@ -67,10 +69,18 @@ VECTORS = "vecs AS (SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS track_id, CA
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """Item rows of one playlist for each order."""
-    rows = _read(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey")) - 1
-    return rows.select(F.col("l_orderkey").alias("playlist_id"), at.alias("position"), _id("l_partkey").alias("track_id"))
+    """Item rows of one playlist for each order.
+
+    Orders are dealt out once, over so many parts that a part's size doesn't grow with
+    the table.  A part is sorted, which spills, and repeated parts of an order are
+    passed over in its stream; no set of all items is held.
+    """
+    lines = _read(spark, sf, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_partkey")
+    again = (F.row_number().over(order) > 1) & F.col("l_partkey").eqNullSafe(F.lag("l_partkey").over(order))
+    rows = lines.select("l_orderkey", "l_partkey").repartition(max(spark.sparkContext.defaultParallelism, parts(lines)), "l_orderkey")
+    rows = rows.select("l_orderkey", "l_partkey", (F.dense_rank().over(order) - 1).alias("position"), again.alias("_again")).filter("NOT _again")
+    return rows.select(F.col("l_orderkey").alias("playlist_id"), "position", _id("l_partkey").alias("track_id"))
 
 
 ITEMS = """items AS (SELECT l_orderkey AS playlist_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS position, lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS track_id
