@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import checks
+from cadenza.operators.dealing import deal, look_up
 from cadenza.operators.vectors import read_text
 
 ITEM = "track_id string, sequence_score double, base_score double"
@@ -66,7 +67,7 @@ def load_json(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
 def m3u8_lines(items: DataFrame, tracks: DataFrame, *keys: str) -> DataFrame:
     """``label`` and ``uri`` lines of item rows; unknown tracks and other URIs raise when the plan runs."""
     known = tracks.select("track_id", "source_uri", "title", "artist", "duration_seconds", F.lit(True).alias("_known"))
-    met = items.join(known, "track_id", "left")
+    met = look_up(items, known, "track_id")
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     names = [F.when(strip(F.col(c)) != "", strip(F.col(c))) for c in ("title", "artist")]
     label = F.concat_ws(" — ", *names)
@@ -79,6 +80,7 @@ def m3u8_lines(items: DataFrame, tracks: DataFrame, *keys: str) -> DataFrame:
 def to_m3u8(items: DataFrame, tracks: DataFrame, *keys: str) -> DataFrame:
     """``m3u8``: a document for each playlist (all rows are one playlist without keys)."""
     lines = m3u8_lines(items, tracks, *keys)
+    lines = deal(lines, *keys) if keys else lines
     parts = F.transform(F.array_sort(F.collect_list(F.struct("position", "label", "uri"))), lambda x: F.concat(x["label"], F.lit("\n"), x["uri"], F.lit("\n")))
     return lines.groupBy(*keys).agg(F.concat(F.lit("#EXTM3U\n"), F.array_join(parts, "")).alias("m3u8"))
 
@@ -131,6 +133,7 @@ def m3u8_rows(documents: DataFrame) -> DataFrame:
     """
     lines = documents.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("n", "raw")).select("path", "n", F.trim("raw").alias("line"))
     kept = lines.filter((F.col("line") != "") & (~F.col("line").startswith("#") | F.col("line").startswith("#EXTINF:")))
+    kept = deal(kept, "path")
     order = Window.partitionBy("path").orderBy("n")
     prior, after = F.lag("line").over(order), F.lead("line").over(order)
     kept = kept.withColumn("_before", prior).withColumn("_after", after)
@@ -149,7 +152,7 @@ def import_rows(documents: DataFrame, tracks: DataFrame) -> DataFrame:
     """
     rows = m3u8_rows(documents)
     known = tracks.filter("status = 'active'").select(F.col("source_uri").alias("uri"), "track_id")
-    met = rows.join(known, "uri", "left")
+    met = deal(look_up(rows, known, "uri"), "path")
     fault = F.coalesce(F.col("fault"), F.when(F.col("track_id").isNull(), "not an active track"))
     at = F.row_number().over(Window.partitionBy("path").orderBy("n")) - 1
     return met.select("path", at.alias("position"), "track_id", fault.alias("fault"))
