@@ -5,9 +5,10 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
-from cadenza.llm import bpe, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup
+from cadenza.llm import bpe, line_dedup, ngram_join, oracles, packing, quality_rules, sharding, substring_dedup
 from cadenza.llm.frames import take
 from cadenza.llm.words import sliding_max, sliding_min, window_hashes, words_of
 from tokenizers import Tokenizer
@@ -79,6 +80,19 @@ def test_quality_rules_know_boilerplate(spark):
     assert [got[len(bad) + i][1] for i in range(4)] == [prose, prose, good[2], good[3]]
 
 
+def test_quality_rules_see_last_marks_and_letters_as_the_sql(spark, tmp_path):
+    many, shout = "a line of many words that goes on and on without any mark at its end", "THE BIG SALE ENDS NOW AND HERE FOR ALL OF YOU"
+    bad = [many + '."\u2028', many + ".\u0085", many + "!\u2029", shout + " ON \u1fbcDES", "1 2 3 4 \u1f88 5 6 7 8 9", shout + " OF \ufb01", shout + " \u0149", shout + " \u1e96", shout + " \u019b"]
+    good = [many + "\u2028.", "\ufb01 1 2 3 4 5 6 7 8 9.", "\U00010d50 1 2 3 4 5 6 7 8 9.", shout + " \u1fb3.", shout + " \u00df."]
+    docs = spark.createDataFrame(list(enumerate([*bad, *good])), "doc_id long, text string")
+    got = quality_rules.digest(quality_rules.quality_rules(docs)).collect()
+    assert {r.doc_id: r.kept for r in got} == {i: i >= len(bad) for i in range(len(bad) + len(good))}
+    docs.write.parquet(str(tmp_path / "documents"))
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    assert count(sql.execute(oracles.OP1).fetchall()) == count(tuple(r) for r in got)
+
+
 def test_bpe_matches_the_library(spark, messy, none):
     library = Tokenizer.from_file(WORD)
     library.no_truncation()
