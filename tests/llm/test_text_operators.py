@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -93,6 +94,40 @@ def test_quality_rules_see_last_marks_and_letters_as_the_sql(spark, tmp_path):
     assert count(sql.execute(oracles.OP1).fetchall()) == count(tuple(r) for r in got)
 
 
+# what the SQL of op1 would be with the phrase and menu rules: its text, and what comes in its place
+WIDER = [
+    ("SELECT r, unnest(string_split(t, chr(10))) AS x FROM d", "SELECT r, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM d"),
+    ("l AS (SELECT r, x,", "l AS (SELECT r, i, x,"),
+    ("j AS (SELECT r, x, y,", "j AS (SELECT r, i, x, y,"),
+    (
+        "AS chars FROM l),",
+        r"""AS chars FROM l),
+     m AS (SELECT *, n <= 4 AND NOT regexp_matches(y, '[.!?:;"''…”’»)\]}]$') AS few FROM j),
+     k AS (SELECT *, few AND coalesce(lag(few) OVER o AND lead(few) OVER o OR lag(few) OVER o AND lag(few, 2) OVER o
+                                      OR lead(few) OVER o AND lead(few, 2) OVER o, false) AS menu FROM m WINDOW o AS (PARTITION BY r ORDER BY i)),""",
+    ),
+    ("AS bad FROM j)", "OR menu OR (n <= 20 AND regexp_matches(y, '(?i)" + "|".join(quality_rules.PHRASES) + "')) AS bad FROM k)"),
+]
+
+
+def test_quality_rules_with_phrases_match_the_wider_sql(spark, tmp_path):
+    r = random.Random(7)
+    lines = ["", " ", "Home", "About us", "Log in now", "One two three four", "One two three four five", "Stop.", "THE BIG SALE ENDS NOW", "a | b | c"]
+    lines += ["All rights reserved.", "Licensed under the Apache License, Version 2.0.", "Released under a free licence", "We use cookies.", "This site uses cookies, as it says", "Accept all cookies"]
+    lines += ["Please enable JavaScript!", "Sign up for our weekly newsletter.", "Share this on X", "Terms and conditions", "(c) 2020 us", "COPYRIGHT 1999", "all  rights reserved", "word " * 18 + "cookie policy.", "word " * 19 + "cookie policy."]
+    lines += ["The river runs past the old mill and on to the sea.", "Nobody knew where the road would end, but all went on.", "a line of many words that goes on and on without any mark at its end"]
+    docs = spark.createDataFrame([(i, "\n".join(r.choices(lines, k=r.randint(1, 9)))) for i in range(2000)] + [(-1, None), (-2, "")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents"))
+    db, sql = duckdb.connect(), oracles.OP1
+    for old, new in WIDER:
+        assert sql.count(old) == 1
+        sql = sql.replace(old, new)
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    got = count(quality_rules.digest(quality_rules.quality_rules(docs, phrases=True)).collect())
+    assert got == count(db.execute(sql).fetchall())
+    assert (got - count(db.execute(oracles.OP1).fetchall())).total() > 100
+
+
 def test_bpe_matches_the_library(spark, messy, none):
     library = Tokenizer.from_file(WORD)
     library.no_truncation()
